@@ -7,6 +7,8 @@ from catalog.registry import table
 from catalog.sqlparts import ARABIC, LATIN
 from lexmill import constants as K
 from lexmill.functions import text as T
+from lexmill.functions.vectors import hash_embedding
+from lexmill.operators import chunks as C
 
 
 def arabize(text: Column) -> Column:
@@ -56,3 +58,53 @@ def faulty_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             "source_page": F.when(n % 73 == 0, 0).otherwise(F.col("source_page")),
         }
     )
+
+
+def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as retrievable units."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("chunk_id"),
+        F.col("doc_id").cast("int").alias("article_number"),
+        F.col("text").alias("text_ar"),
+        F.col("text").alias("text_ar_normalized"),
+    )
+
+
+def doc_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold one of a question's lines whole: an equi join on the line."""
+    def lines(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.explode(F.split("question", "\n")).alias("line")).distinct()
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.col("text").alias("question"))
+    return (
+        lines(doc_questions(spark, sf_dir), "query_id")
+        .join(lines(docs, "d"), "line")
+        .select("query_id", F.col("d").cast("int").alias("article_number"))
+        .distinct()
+    )
+
+
+DIM = 64
+
+
+def article_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.chunk_articles(articles(spark, sf_dir), strategy="article")
+
+
+def article_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arabized questions, some naming articles or asking for repealed ones, with hash vectors."""
+    i = F.col("item_id")
+    tail = (
+        F.when(i % 4 == 0, F.concat(F.lit(" المادة "), i + 40))
+        .when(i % 4 == 1, F.concat(F.lit(" Articles "), i + 380, F.lit(" and 12")))
+        .when(i % 4 == 2, " was it repealed?")
+        .otherwise("")
+    )
+    asked = table(spark, sf_dir, "benchmark").select(
+        i.alias("query_id"), F.concat(arabize(F.col("text")), tail).alias("question")
+    )
+    return asked.withColumn("embedding", F.transform(hash_embedding(F.col("question"), DIM), lambda v: v.cast("float")))
