@@ -107,4 +107,9 @@ def article_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(
         i.alias("query_id"), F.concat(arabize(F.col("text")), tail).alias("question")
     )
-    return asked.withColumn("embedding", F.transform(hash_embedding(F.col("question"), DIM), lambda v: v.cast("float")))
+    return with_hash_vector(asked)
+
+
+def with_hash_vector(questions: DataFrame) -> DataFrame:
+    vector = F.transform(hash_embedding(F.col("question"), DIM), lambda v: v.cast("float"))
+    return questions.withColumn("embedding", vector)

@@ -194,25 +194,42 @@ def paragraphs(source: str, key: str, col: str, out: str) -> str:
 
 # Article-level chunks of the derived corpus and the derived questions, with hash vectors.
 DIM = 64
-HYBRID_BASE = f"""{ARTICLES},
+ASKED = (
+    arabize("text") + " || CASE item_id % 4 WHEN 0 THEN ' المادة ' || (item_id + 40) "
+    "WHEN 1 THEN ' Articles ' || (item_id + 380) || ' and 12' WHEN 2 THEN ' was it repealed?' ELSE '' END"
+)
+
+
+def hybrid_base(question: str = ASKED) -> str:
+    return f"""{ARTICLES},
 chunks AS (SELECT 'art_' || article_number AS chunk_id, article_number, NULL::INTEGER AS paragraph_number, text_ar AS ctext,
   text_ar, text_en, book, chapter, is_repealed, citation, source_page FROM articles),
-queries AS (SELECT item_id AS query_id, {arabize('text')} || CASE item_id % 4 WHEN 0 THEN ' المادة ' || (item_id + 40)
-    WHEN 1 THEN ' Articles ' || (item_id + 380) || ' and 12' WHEN 2 THEN ' was it repealed?' ELSE '' END AS question FROM benchmark),
+queries AS (SELECT item_id AS query_id, {question} AS question FROM benchmark),
 qf0 AS (SELECT query_id, question, {references('question', 'question')} AS nums FROM queries),
 qf AS (SELECT query_id, question, nums,
   NOT ({" OR ".join(f"contains(lower({digits('question')}), '{k}')" for k in K.REPEALED_KEYWORDS)}
        OR len(list_filter(nums, lambda x: {in_ranges('x')})) > 0) AS exclude_repealed FROM qf0)"""
 
 
+HYBRID_BASE = hybrid_base()
+
+
+def unit_vectors(out: str, source: str, text: str) -> str:
+    """CTEs that add the unit hash vector ``e`` (single precision) to ``source``."""
+    return f"""{out}_h AS (SELECT *, {hash_embedding(text, DIM)} AS h FROM {source}),
+{out}_n AS (SELECT *, sqrt(list_sum(list_transform(h, lambda x: x * x))) AS nrm FROM {out}_h),
+{out}_e AS (SELECT *, generate_subscripts(h, 1) AS pos, unnest(h) / nrm AS x FROM {out}_n),
+{out} AS (SELECT * EXCLUDE (pos, x, h, nrm), list(x::FLOAT::DOUBLE ORDER BY pos) AS e FROM {out}_e GROUP BY ALL)"""
+
+
 def hybrid(top_k: int, depth: int) -> str:
     """CTEs from HYBRID_BASE to ``final(query_id, rank, chunk_id, score, source)``."""
     filters = """JOIN qf f ON f.query_id = qt.query_id WHERE (NOT f.exclude_repealed OR NOT c.is_repealed)
       AND (len(f.nums) = 0 OR list_contains(f.nums, c.article_number))"""
     scored = bm25(depth).replace("JOIN queries q ON q.query_id = qt.query_id, st ", "CROSS JOIN st " + filters)
     return f"""{scored},
-vec AS (SELECT *, list_transform({hash_embedding(strip('ctext'), DIM)}, lambda v: v::FLOAT::DOUBLE) AS e FROM chunks),
-qvec AS (SELECT *, list_transform({hash_embedding('question', DIM)}, lambda v: v::FLOAT::DOUBLE) AS e FROM qf),
+{unit_vectors('vec', 'chunks', strip('ctext'))},
+{unit_vectors('qvec', 'qf', 'question')},
 sims AS (SELECT q.query_id, v.article_number, v.paragraph_number, v.chunk_id, round(list_cosine_similarity(v.e, q.e), 6) AS score
   FROM vec v, qvec q WHERE NOT q.exclude_repealed OR NOT v.is_repealed),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_number, paragraph_number NULLS FIRST, chunk_id) AS rank FROM sims)

@@ -82,6 +82,11 @@ IDENTITY = ["مين انت", "من انت", "من أنت", "عن النظام",
 # --- answers --------------------------------------------------------------------------------
 REFUSAL_AR = "لم أجد أساساً في القانون المدني للإجابة عن هذا السؤال."
 REFUSAL_EN = "I could not find a basis in the Egyptian Civil Code to answer this question."
+SYSTEM_PROMPT = (
+    "Answer only from the articles given as context and cite each one as [المادة N] in Arabic or [Article N] "
+    "in English. Reply in the language of the question and say when an article is repealed. When the context "
+    f"holds no basis for an answer, reply exactly: {REFUSAL_AR} / {REFUSAL_EN}"
+)
 REFUSAL_MARK_AR = "لم أجد أساساً في القانون المدني"
 REFUSAL_MARK_EN = "could not find a basis in the egyptian civil code"
 EMPTY_CONTEXT = "لا تتوفر مواد قانونية مسترجعة (No articles retrieved)."

@@ -59,8 +59,8 @@ def parse_judgement(raw: Column) -> Column:
     gives null scores and an error reason.
     """
     body = strip(raw)
-    tagged = F.split(F.element_at(F.split(body, "```json"), 2), "```")[0]
-    fenced = F.element_at(F.split(body, "```"), 2)
+    tagged = F.get(F.split(F.get(F.split(body, "```json"), F.lit(1)), "```"), F.lit(0))
+    fenced = F.get(F.split(body, "```"), F.lit(1))
     body = strip(
         F.when(body.contains("```json"), tagged).when(body.contains("```"), fenced).otherwise(body)
     )
