@@ -145,11 +145,11 @@ def parameter_sweep(spark, sf):
     return sweep_runs(spark, sf).withColumns({c: F.round(c, 6) for c in ("hit_rate", *ROUNDED)})
 
 
-@query(
-    "run_leaderboard",
-    f"""WITH r AS ({_sweep_sql()}), s AS (SELECT ordinal, chunk_strategy, top_k, round(mrr * 0.4 + hit_rate * 0.3 + context_recall * 0.3, 9) AS composite_score FROM r)
-    SELECT *, ordinal = (SELECT ordinal FROM s ORDER BY composite_score DESC, ordinal LIMIT 1) AS is_best FROM s""",
-)
+ORACLES_RUNS = f"""WITH r AS ({_sweep_sql()}), s AS (SELECT ordinal, chunk_strategy, top_k, round(mrr * 0.4 + hit_rate * 0.3 + context_recall * 0.3, 9) AS composite_score FROM r),
+board AS (SELECT *, ordinal = (SELECT ordinal FROM s ORDER BY composite_score DESC, ordinal LIMIT 1) AS is_best FROM s)"""
+
+
+@query("run_leaderboard", f"{ORACLES_RUNS} SELECT * FROM board")
 def run_leaderboard(spark, sf):
     """Ranks real sweep runs; MRR and hit rate stand where judge scores would."""
     runs = parameter_sweep(spark, sf).withColumns({"faithfulness": F.col("mrr"), "answer_relevancy": F.col("hit_rate")})

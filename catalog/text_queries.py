@@ -234,9 +234,9 @@ def small_talk_routing(spark, sf):
     return with_small_talk(spark, sf).select("conv_id", "turn", G.small_talk(F.col("q")).alias("intent"))
 
 
-def with_small_talk(spark, sf):
+def small_talk_column():
     conv, text = F.col("conv_id"), F.col("text")
-    q = (
+    return (
         F.when(F.col("role") != "user", text)
         .when(conv % 7 == 0, F.concat(F.lit("مرحبا "), text))
         .when(conv % 11 == 0, F.concat(F.lit("Thank you "), text))
@@ -244,7 +244,10 @@ def with_small_talk(spark, sf):
         .when(conv % 5 == 0, "Who are you")
         .otherwise(text)
     )
-    return table(spark, sf, "conversations").withColumn("q", q)
+
+
+def with_small_talk(spark, sf):
+    return table(spark, sf, "conversations").withColumn("q", small_talk_column())
 
 
 QUESTION = (
