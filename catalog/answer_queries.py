@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from catalog import fixtures as X
 from catalog import sqlparts as S
 from catalog.registry import query, table
-from catalog.retrieval_queries import HYBRID, article_index, hybrid_hits
+from catalog.retrieval_queries import HYBRID, hybrid_hits, stored_chunks
 from lexmill import constants as K
 from lexmill.functions import text as T
 from lexmill.operators import answers as A
-from lexmill.operators import chunks as C
+from lexmill.operators.lexical import LexicalIndex
 from lexmill.plans import answering as P
 
 L = S.lit
@@ -43,7 +43,8 @@ cited AS (SELECT query_id, answer, is_ar, {S.cited('answer')} AS nums FROM answe
 
 def gathered(spark, sf):
     questions = X.article_questions(spark, sf).select("query_id", "question")
-    rows = A.gather(questions, hybrid_hits(spark, sf), X.article_chunks(spark, sf))
+    chunks = stored_chunks(spark, sf)
+    rows = A.gather(questions, hybrid_hits(spark, sf, chunks), chunks)
     return rows.withColumn("is_ar", T.is_arabic(F.col("question")))
 
 
@@ -190,8 +191,8 @@ def answer_log(spark, sf):
         "question", F.when(i % 5 == 0, F.concat(F.lit("hello "), "text")).otherwise(F.col("question"))
     )
     asked = X.with_hash_vector(asked.drop("text"))
-    chunks = X.article_chunks(spark, sf)
-    log = P.answer_log(asked, article_index(spark, sf), chunks, C.embed_by_hash(chunks, X.DIM), synonyms=[])
+    chunks = stored_chunks(spark, sf)
+    log = P.answer_log(asked, LexicalIndex.build(chunks), chunks, chunks, synonyms=[])
     return log.select(
         "query_id", "answer", F.array_join(F.transform("hits", lambda h: h["chunk_id"]), ",").alias("chunks"), "total_tokens", "intent"
     )

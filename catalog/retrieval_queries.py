@@ -12,6 +12,7 @@ from lexmill.operators import evaluate as E
 from lexmill.operators import fusion as U
 from lexmill.operators.lexical import LexicalIndex
 from lexmill.plans import hybrid as H
+from lexmill.session import stage
 
 
 def doc_index(spark, sf):
@@ -170,8 +171,9 @@ def dense_topk(spark, sf):
 HYBRID = f"WITH {S.HYBRID_BASE}, {S.hybrid(5, 20)}"
 
 
-def article_index(spark, sf):
-    return LexicalIndex.build(X.article_chunks(spark, sf))
+def stored_chunks(spark, sf):
+    """Chunks with vectors as a table, the way an ingest leaves them."""
+    return stage(C.embed_by_hash(X.article_chunks(spark, sf), X.DIM), "chunks")
 
 
 @query(
@@ -185,9 +187,9 @@ def exact_lookup(spark, sf):
 
 def _branches(spark, sf):
     asked = H.with_filters(X.article_questions(spark, sf))
-    chunks = X.article_chunks(spark, sf)
-    dense = D.dense_topk(C.embed_by_hash(chunks, X.DIM), asked, limit=20)
-    return dense, article_index(spark, sf).search(asked, limit=20, synonyms=[])
+    chunks = stored_chunks(spark, sf)
+    dense = D.dense_topk(chunks, asked, limit=20)
+    return dense, LexicalIndex.build(chunks).search(asked, limit=20, synonyms=[])
 
 
 @query(
@@ -216,12 +218,9 @@ def hybrid_retrieve(spark, sf):
     return hybrid_hits(spark, sf).select("query_id", "rank", "chunk_id", "score", "source")
 
 
-def hybrid_hits(spark, sf, **options):
-    chunks = X.article_chunks(spark, sf)
-    return H.retrieve(
-        X.article_questions(spark, sf), article_index(spark, sf), C.embed_by_hash(chunks, X.DIM),
-        synonyms=[], **options,
-    )
+def hybrid_hits(spark, sf, chunks=None, **options):
+    chunks = stored_chunks(spark, sf) if chunks is None else chunks
+    return H.retrieve(X.article_questions(spark, sf), LexicalIndex.build(chunks), chunks, synonyms=[], **options)
 
 
 @query(
@@ -247,8 +246,9 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r
     f"{RERANK} SELECT query_id, rank::INTEGER AS rank, chunk_id, score, source FROM rk WHERE rank <= 5",
 )
 def rerank_overlap(spark, sf):
-    texts = X.article_chunks(spark, sf).select("chunk_id", F.col("text_ar_normalized").alias("text"))
-    hits = hybrid_hits(spark, sf, scorer=U.overlap_scorer, texts=texts)
+    chunks = stored_chunks(spark, sf)
+    texts = chunks.select("chunk_id", F.col("text_ar_normalized").alias("text"))
+    hits = hybrid_hits(spark, sf, chunks, scorer=U.overlap_scorer, texts=texts)
     return hits.select("query_id", "rank", "chunk_id", "score", "source")
 
 

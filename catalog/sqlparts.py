@@ -74,8 +74,8 @@ def references(ar: str, en: str, current: str = "NULL::INTEGER") -> str:
         [
             numbers(digits(ar), K.REFERENCE_AR_PATTERN, 1),
             numbers(digits(ar), K.REFERENCE_AR_PATTERN, 2),
-            numbers(digits(en), K.REFERENCE_EN_PATTERN, 1),
-            numbers(digits(en), K.REFERENCE_EN_PAIR_PATTERN, 2),
+            numbers(digits(en), rf"(?i)Articles?[{K.WS}]+([0-9]+)", 1),
+            numbers(digits(en), rf"(?i)Articles?[{K.WS}]+[0-9]+[{K.WS}]+and[{K.WS}]+([0-9]+)", 1),
         ]
     )
     return (

@@ -12,6 +12,10 @@ DIACRITICS = "".join(chr(c) for c in range(0x064B, 0x0660)) + "ٰ"
 
 # Regex classes valid in both Java and RE2 that agree with Python's Unicode \s and \w.
 WS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS_CHARS = "".join(
+    chr(c)
+    for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 WORD = r"\p{L}\p{N}_"
 
 # --- corpus facts ---------------------------------------------------------------------------
@@ -45,8 +49,7 @@ REFERENCE_AR_PATTERN = (
     rf"(?:[{WS}]*(?:و|أو|او|إلى|الي|حتى|حتي|-)[{WS}]*([0-9]+))?"
 )
 REFERENCE_AR_STRICT_PATTERN = REFERENCE_AR_PATTERN.replace("(?:الماد", rf"(?:^|[^{WORD}])[وفبلك]*(?:الماد", 1)
-REFERENCE_EN_PATTERN = rf"(?i)Articles?[{WS}]+([0-9]+)"
-REFERENCE_EN_PAIR_PATTERN = rf"(?i)Articles?[{WS}]+([0-9]+)[{WS}]+and[{WS}]+([0-9]+)"
+REFERENCE_EN_PATTERN = rf"(?i)Articles?[{WS}]+[0-9]+(?:[{WS}]+and[{WS}]+[0-9]+)?"
 CITED_BRACKET_PATTERN = rf"(?i)\[(?:المادة|Article)[{WS}]*([0-9]+)\]"
 
 # --- retrieval ------------------------------------------------------------------------------

@@ -19,22 +19,24 @@ def text_or_empty(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim every Unicode white-space character from both ends."""
-    return F.regexp_replace(col, rf"^[{K.WS}]+|[{K.WS}]+\z", "")
+    return F.trim(col, F.lit(K.WS_CHARS))
 
 
 def western_digits(col: Column) -> Column:
     return F.translate(text_or_empty(col), K.ARABIC_DIGITS, K.WESTERN_DIGITS)
 
 
-def _fold_letters(col: Column, teh_marbuta: bool) -> Column:
-    source = K.ALEF_FORMS + "ى" + ("ة" if teh_marbuta else "") + K.ARABIC_DIGITS
-    target = "ا" * len(K.ALEF_FORMS) + "ي" + ("ه" if teh_marbuta else "") + K.WESTERN_DIGITS
+def _fold_letters(col: Column, teh_marbuta: bool, spaces: bool = False) -> Column:
+    """One ``translate`` for every letter, digit and, when asked, white-space rule."""
+    blank = K.WS_CHARS.replace(" ", "") if spaces else ""
+    source = K.ALEF_FORMS + "ى" + ("ة" if teh_marbuta else "") + K.ARABIC_DIGITS + blank
+    target = "ا" * len(K.ALEF_FORMS) + "ي" + ("ه" if teh_marbuta else "") + K.WESTERN_DIGITS + " " * len(blank)
     return F.translate(text_or_empty(col), source + K.TATWEEL + K.DIACRITICS, target)
 
 
 def normalize(col: Column, teh_marbuta: bool = False) -> Column:
     """Search form: no tatweel or diacritics, unified alef and yaa, western digits, single spaces."""
-    return F.trim(F.regexp_replace(_fold_letters(col, teh_marbuta), rf"[{K.WS}]+", " "))
+    return F.trim(F.regexp_replace(_fold_letters(col, teh_marbuta, spaces=True), " {2,}", " "))
 
 
 def normalize_literal(text: str, teh_marbuta: bool = False) -> str:
@@ -71,6 +73,13 @@ def _numbers(text: Column, pattern: str, group: int) -> Column:
     return F.transform(found, lambda n: n.try_cast("int"))
 
 
+def _numbers_inside(text: Column, pattern: str) -> Column:
+    """Every number inside the matches: one scan of the text for patterns with several groups."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    digits = F.flatten(F.transform(found, lambda m: F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))))
+    return F.transform(digits, lambda n: n.try_cast("int"))
+
+
 def references(
     text_ar: Column,
     text_en: Column | None = None,
@@ -82,12 +91,7 @@ def references(
     arabic = western_digits(text_ar)
     english = western_digits(F.lit("") if text_en is None else text_en)
     pattern = K.REFERENCE_AR_STRICT_PATTERN if strict else K.REFERENCE_AR_PATTERN
-    found = F.concat(
-        _numbers(arabic, pattern, 1),
-        _numbers(arabic, pattern, 2),
-        _numbers(english, K.REFERENCE_EN_PATTERN, 1),
-        _numbers(english, K.REFERENCE_EN_PAIR_PATTERN, 2),
-    )
+    found = F.concat(_numbers_inside(arabic, pattern), _numbers_inside(english, K.REFERENCE_EN_PATTERN))
     own = F.lit(None).cast("int") if current is None else current
     keep = F.filter(found, lambda n: n.between(1, max_article) & ~n.eqNullSafe(own))
     return F.array_sort(F.array_distinct(keep))
