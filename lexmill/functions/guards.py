@@ -1,11 +1,10 @@
 """Column functions that screen questions and parse judge output."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill import constants as K
+from lexmill.functions.binding import any_of, let
 from lexmill.functions.text import WORD_EDGE as B
 from lexmill.functions.text import normalize, strip, western_digits
 
@@ -42,7 +41,7 @@ def small_talk(query: Column, assistant_name: str | None = None) -> Column:
     identity = K.IDENTITY + ([f"ما هو {assistant_name}"] if assistant_name else [])
 
     def opens(phrases: list[str]) -> Column:
-        return reduce(lambda a, b: a | b, [(folded == p) | folded.startswith(p + " ") for p in phrases])
+        return folded.rlike(rf"^{any_of(phrases)}(?: |\z)")
 
     return (
         F.when(F.length(strip(query)) == 0, F.lit(None).cast("string"))
@@ -64,27 +63,23 @@ def parse_judgement(raw: Column) -> Column:
     body = strip(
         F.when(body.contains("```json"), tagged).when(body.contains("```"), fenced).otherwise(body)
     )
-    # an object opens with a brace; from_json alone would also accept an array of one object
-    fields = F.when(body.startswith("{"), F.from_json(body, "map<string,string>"))
 
-    def score(key: str) -> Column:
-        value = F.when(F.map_contains_key(fields, F.lit(key)), fields[key].try_cast("double")).otherwise(0.0)
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    def scored(fields: Column) -> Column:
+        def score(key: str) -> Column:
+            value = F.when(F.map_contains_key(fields, F.lit(key)), fields[key].try_cast("double")).otherwise(0.0)
+            return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
-    ok = (
-        fields.isNotNull()
-        & _numeric_or_absent(fields, "faithfulness")
-        & _numeric_or_absent(fields, "answer_relevancy")
-    )
-    return F.struct(
-        F.when(ok, score("faithfulness")).alias("faithfulness"),
-        F.when(ok, score("answer_relevancy")).alias("answer_relevancy"),
-        F.when(ok, F.coalesce(fields["reason"], F.lit("LLM judged successfully")))
-        .otherwise(F.lit("Error: judge output is not valid"))
-        .alias("reason"),
-    )
+        def numeric_or_absent(key: str) -> Column:
+            return ~F.map_contains_key(fields, F.lit(key)) | fields[key].try_cast("double").isNotNull()
 
+        ok = fields.isNotNull() & numeric_or_absent("faithfulness") & numeric_or_absent("answer_relevancy")
+        return F.struct(
+            F.when(ok, score("faithfulness")).alias("faithfulness"),
+            F.when(ok, score("answer_relevancy")).alias("answer_relevancy"),
+            F.when(ok, F.coalesce(fields["reason"], F.lit("LLM judged successfully")))
+            .otherwise(F.lit("Error: judge output is not valid"))
+            .alias("reason"),
+        )
 
-def _numeric_or_absent(fields: Column, key: str) -> Column:
-    absent = ~F.map_contains_key(fields, F.lit(key))
-    return absent | fields[key].try_cast("double").isNotNull()
+    # an object opens with a brace; from_json alone would also accept an array of one object
+    return let(F.when(body.startswith("{"), F.from_json(body, "map<string,string>")), scored)

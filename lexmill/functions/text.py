@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill import constants as K
+from lexmill.functions.binding import any_of, let
 
 WORD_EDGE = rf"(?:(?<=[{K.WORD}])(?![{K.WORD}])|(?<![{K.WORD}])(?=[{K.WORD}]))"
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -194,17 +195,19 @@ def detect_filters(
     repealed: list[tuple[int, int]] = K.REPEALED_RANGES,
 ) -> Column:
     """Struct with the explicit article numbers and whether repealed rows are excluded."""
-    lowered = F.lower(western_digits(query))
-    numbers = references(query, query)
-    asks = reduce(lambda a, b: a | b, [lowered.contains(k) for k in keywords])
-    in_range = F.exists(numbers, lambda n: in_ranges(n, repealed))
-    return F.struct(
-        F.lit(None).cast("string").alias("book"),
-        F.lit(None).cast("string").alias("chapter"),
-        F.lit(None).cast("string").alias("section"),
-        (~(asks | in_range)).alias("exclude_repealed"),
-        F.when(F.size(numbers) > 0, numbers).alias("article_numbers"),
-    )
+    asks = F.lower(western_digits(query)).rlike(any_of(keywords))
+
+    def build(numbers: Column) -> Column:
+        in_range = F.exists(numbers, lambda n: in_ranges(n, repealed))
+        return F.struct(
+            F.lit(None).cast("string").alias("book"),
+            F.lit(None).cast("string").alias("chapter"),
+            F.lit(None).cast("string").alias("section"),
+            (~(asks | in_range)).alias("exclude_repealed"),
+            F.when(F.size(numbers) > 0, numbers).alias("article_numbers"),
+        )
+
+    return let(references(query, query), build)
 
 
 def in_ranges(number: Column, ranges: list[tuple[int, int]]) -> Column:
@@ -219,12 +222,10 @@ def paragraphs(text: Column) -> Column:
     def pieces(pattern: str) -> Column:
         return F.filter(F.transform(F.split(text, pattern), strip), lambda p: F.length(p) > 0)
 
-    numbered, blank = pieces(marker), pieces("\n\n")
-    return (
-        F.when(F.size(numbered) > 1, numbered)
-        .when(F.size(blank) > 1, blank)
-        .otherwise(F.array(strip(text)))
-    )
+    def or_else(parts: Column, other: Column) -> Column:
+        return let(parts, lambda p: F.when(F.size(p) > 1, p).otherwise(other))
+
+    return or_else(pieces(marker), or_else(pieces("\n\n"), F.array(strip(text))))
 
 
 def embedding_text(mode: str, normalized: Column, english: Column, prefix: str = "") -> Column:
@@ -242,8 +243,10 @@ def cited_numbers(text: Column) -> Column:
     """Bracketed article citations; plain mentions only when there are none."""
     western = western_digits(text)
     plain = rf"(?i){WORD_EDGE}(?:المادة|Article)[{K.WS}]*([0-9]+){WORD_EDGE}"
-    bracketed = _numbers(western, K.CITED_BRACKET_PATTERN, 1)
-    found = F.when(F.size(bracketed) > 0, bracketed).otherwise(_numbers(western, plain, 1))
+    found = let(
+        _numbers(western, K.CITED_BRACKET_PATTERN, 1),
+        lambda bracketed: F.when(F.size(bracketed) > 0, bracketed).otherwise(_numbers(western, plain, 1)),
+    )
     return F.array_sort(F.array_distinct(found))
 
 

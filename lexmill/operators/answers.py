@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill import constants as K
 from lexmill.functions import text as X
+from lexmill.functions.binding import let
 from lexmill.session import broadcast_if_small, stage
 
 HIT_FIELDS = [
@@ -98,8 +99,7 @@ def citations(answer: Column, hits: Column, prefix: str = K.CITATION_PREFIX) ->
     def snippet(text: Column) -> Column:
         return F.concat(F.substring(text, 1, 200), F.when(F.length(text) > 200, "...").otherwise(""))
 
-    def link(n: Column) -> Column:
-        hit = F.get(F.filter(hits, lambda h: h["article_number"] == n), F.lit(0))
+    def link(n: Column, hit: Column) -> Column:
         found = hit.isNotNull()
         return F.struct(
             n.alias("article_number"),
@@ -111,15 +111,16 @@ def citations(answer: Column, hits: Column, prefix: str = K.CITATION_PREFIX) ->
             F.coalesce(found & hit["is_repealed"], F.lit(False)).alias("is_repealed"),
         )
 
-    return F.transform(X.cited_numbers(answer), link)
+    def first_hit(n: Column) -> Column:
+        return F.get(F.filter(hits, lambda h: h["article_number"] == n), F.lit(0))
+
+    return F.transform(X.cited_numbers(answer), lambda n: let(first_hit(n), lambda hit: link(n, hit)))
 
 
 def grounding(answer: Column, hits: Column, threshold: float = 0.25) -> Column:
     """Grounding verdict: first rule that applies decides."""
     clean = X.text_or_empty(answer)
-    cited = X.cited_numbers(clean)
     retrieved = F.transform(hits, lambda h: h["article_number"])
-    invented, backed = F.array_except(cited, retrieved), F.array_intersect(cited, retrieved)
     words = F.filter(F.array_distinct(F.split(X.normalize(clean), " ")), lambda t: F.length(t) > 2)
     normalized = F.transform(
         hits,
@@ -131,7 +132,6 @@ def grounding(answer: Column, hits: Column, threshold: float = 0.25) -> Column:
             F.transform(hits, lambda h: F.split(F.lower(h["text_en"]), f"[{K.WS}]+")),
         )
     )
-    overlap = F.size(F.array_intersect(words, context)) / F.size(words)
     none = F.array().cast("array<int>")
 
     def verdict(ok: bool, score: Column | float, why: Column | str, bad: Column = none, good: Column = none) -> Column:
@@ -143,16 +143,31 @@ def grounding(answer: Column, hits: Column, threshold: float = 0.25) -> Column:
             (F.lit(why) if isinstance(why, str) else why).alias("reason"),
         )
 
-    listed = F.concat(F.lit("Hallucinated citations not in retrieved context: ["), F.array_join(invented, ", "), F.lit("]"))
-    low = F.concat(F.lit("Answer has low overlap ("), F.format_string("%.2f", overlap), F.lit(") and lacks citations"))
+    def by_overlap(cited: Column, backed: Column, overlap: Column) -> Column:
+        low = F.concat(F.lit("Answer has low overlap ("), F.format_string("%.2f", overlap), F.lit(") and lacks citations"))
+        weak = (F.size(cited) == 0) & (overlap < threshold)
+        return F.when(weak, verdict(False, overlap, low)).otherwise(
+            verdict(True, overlap, "Grounded in retrieved context", good=backed)
+        )
+
+    def by_words(cited: Column, backed: Column, w: Column) -> Column:
+        share = F.size(F.array_intersect(w, context)) / F.size(w)
+        return F.when(F.size(w) == 0, verdict(True, 1.0, "No substantive tokens to verify", good=backed)).otherwise(
+            let(share, lambda overlap: by_overlap(cited, backed, overlap))
+        )
+
+    def by_citations(cited: Column) -> Column:
+        invented, backed = F.array_except(cited, retrieved), F.array_intersect(cited, retrieved)
+        listed = F.concat(F.lit("Hallucinated citations not in retrieved context: ["), F.array_join(invented, ", "), F.lit("]"))
+        return F.when(F.size(invented) > 0, verdict(False, 0.0, listed, invented, backed)).otherwise(
+            let(words, lambda w: by_words(cited, backed, w))
+        )
+
     return (
         F.when(F.length(X.strip(clean)) == 0, verdict(False, 0.0, "Empty answer produced"))
         .when(clean.contains(K.REFUSAL_AR) | clean.contains(K.REFUSAL_EN), verdict(True, 1.0, "Valid refusal"))
         .when(F.size(hits) == 0, verdict(False, 0.0, "Answer provided without retrieved context"))
-        .when(F.size(invented) > 0, verdict(False, 0.0, listed, invented, backed))
-        .when(F.size(words) == 0, verdict(True, 1.0, "No substantive tokens to verify", good=backed))
-        .when((F.size(cited) == 0) & (overlap < threshold), verdict(False, overlap, low))
-        .otherwise(verdict(True, overlap, "Grounded in retrieved context", good=backed))
+        .otherwise(let(X.cited_numbers(clean), by_citations))
     )
 
 

@@ -274,6 +274,8 @@ def overlay_status(
     articles: DataFrame, lines: DataFrame, ranges: list[dict] = K.OVERLAY_RANGES, citation_prefix: str = K.CITATION_PREFIX
 ) -> DataFrame:
     """Replace or create every article of the status ranges, in every corpus, with its note."""
+    if not ranges:
+        return articles
     docs = lines.groupBy(DOC).agg(F.max("page").alias("last_page"))
 
     def entry(r: dict) -> Column:

@@ -60,7 +60,7 @@ class LexicalIndex:
     def corpus(self) -> DataFrame:
         """One row: chunk count and mean length."""
         return self.postings.agg(F.sum("head").alias("n_chunks"), F.sum("tf").alias("n_tokens")).select(
-            "n_chunks", "n_tokens", (F.col("n_tokens") / F.col("n_chunks")).alias("avgdl")
+            "n_chunks", "n_tokens", (F.col("n_tokens") / F.nullif("n_chunks", F.lit(0))).alias("avgdl")
         )
 
     def documents(self) -> DataFrame:

@@ -73,7 +73,7 @@ def ks_two_sample(samples: DataFrame, value: str, side: str, digits: int | None
     )
     sizes = totals.agg(F.sum("ta").alias("n1"), F.sum("tb").alias("n2"))
     run = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    n1, n2 = sizes.select("n1").scalar(), sizes.select("n2").scalar()
+    n1, n2 = (sizes.select(F.nullif(n, F.lit(0))).scalar() for n in ("n1", "n2"))
     gaps = ranged.join(F.broadcast(offsets), "r").select(
         F.abs((F.col("oa") + F.sum("a").over(run)) / n1 - (F.col("ob") + F.sum("b").over(run)) / n2).alias("gap")
     )
@@ -81,7 +81,7 @@ def ks_two_sample(samples: DataFrame, value: str, side: str, digits: int | None
         F.coalesce(n1, F.lit(0)).alias("n1"), F.coalesce(n2, F.lit(0)).alias("n2"), "d"
     )
     empty = (F.col("n1") == 0) | (F.col("n2") == 0)
-    en = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
+    en = F.sqrt(F.nullif(F.col("n1") * F.col("n2"), F.lit(0)) / (F.col("n1") + F.col("n2")))
     lam = (en + 0.12 + 0.11 / en) * F.col("d")
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * F.exp(-2.0 * lam * lam)))
     return out.select(

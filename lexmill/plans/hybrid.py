@@ -15,9 +15,11 @@ def with_filters(queries: DataFrame) -> DataFrame:
 
     ``article_numbers`` keeps the numbers the question names, whatever the override says.
     """
-    detected = X.detect_filters(F.col("question"))
-    filters = F.coalesce("filter_override", detected) if "filter_override" in queries.columns else detected
-    return queries.withColumns({"filters": filters, "article_numbers": detected["article_numbers"]})
+    rows = queries.withColumn("filters", X.detect_filters(F.col("question")))
+    rows = rows.withColumn("article_numbers", F.col("filters.article_numbers"))
+    if "filter_override" in queries.columns:
+        rows = rows.withColumn("filters", F.coalesce("filter_override", "filters"))
+    return rows
 
 
 def retrieve(
