@@ -17,10 +17,12 @@ def postings(chunks: DataFrame, text: Column | None = None, **token_options) ->
 
     ``head`` is 1 on exactly one row per chunk, so chunk counts need no distinct; a chunk without
     tokens keeps one row with a null term. Length and filters are stored on every row so scoring
-    never joins the chunk table.
+    never joins the chunk table. Texts are placed by chunk before they are tokenized: a chunk's
+    tokens then meet without shuffling the much wider postings.
     """
     text = F.coalesce("text_ar_normalized", "text_ar") if text is None else text
-    rows = chunks.select(*_chunk_keys(chunks), X.kept_words(text, **token_options).alias("words"))
+    placed = chunks.select(*_chunk_keys(chunks), text.alias("body")).repartition("chunk_id")
+    rows = placed.select(*CHUNK_KEYS, X.kept_words(F.col("body"), **token_options).alias("words"))
     words = rows.select(
         *CHUNK_KEYS, F.size("words").alias("dl"), F.posexplode_outer("words").alias("pos", "word")
     )
@@ -39,45 +41,50 @@ def _chunk_keys(chunks: DataFrame) -> list[Column]:
 
 
 class LexicalIndex:
-    """A postings table with the statistics derived from it."""
+    """Three stored tables: postings, term statistics and one row of corpus totals.
 
-    def __init__(self, postings: DataFrame):
-        self.postings = postings
+    A search reads the totals, the small term table and the postings columns it needs; nothing is
+    counted again.
+    """
+
+    def __init__(self, postings: DataFrame, term_table: DataFrame, totals: DataFrame):
+        self.postings, self.term_table, self.totals = postings, term_table, totals
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str | None = None, **options) -> "LexicalIndex":
         """Tokenize once and store; files are sorted by term so lookups skip row groups."""
-        rows = postings(chunks, **options).sortWithinPartitions("term")
-        if path is None:
-            return cls(stage(rows, "postings"))
-        rows.write.mode("overwrite").parquet(path)
-        return cls(chunks.sparkSession.read.parquet(path))
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            if path is None:
+                return stage(df, name)
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            return chunks.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+        rows = keep(postings(chunks, **options).sortWithinPartitions("term"), "postings")
+        counted = rows.agg(F.sum("head").alias("n_chunks"), F.sum("tf").alias("n_tokens"))
+        n = counted.select("n_chunks").scalar()
+        found = rows.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+        raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        terms = keep(found.withColumn("raw_idf", raw), "terms")
+        mean = terms.agg(F.avg("raw_idf").alias("m")).scalar()
+        avgdl = F.col("n_tokens") / F.nullif("n_chunks", F.lit(0))
+        totals = keep(counted.withColumns({"avgdl": avgdl, "mean_idf": mean}), "totals")
+        return cls(rows, terms, totals)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "LexicalIndex":
-        return cls(spark.read.parquet(path))
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")])
 
     def corpus(self) -> DataFrame:
-        """One row: chunk count and mean length."""
-        return self.postings.agg(F.sum("head").alias("n_chunks"), F.sum("tf").alias("n_tokens")).select(
-            "n_chunks", "n_tokens", (F.col("n_tokens") / F.nullif("n_chunks", F.lit(0))).alias("avgdl")
-        )
+        """One row: chunk count, token count and mean length."""
+        return self.totals.select("n_chunks", "n_tokens", "avgdl")
 
     def documents(self) -> DataFrame:
         return self.postings.filter("head = 1").select(*CHUNK_KEYS, "dl")
 
     def terms(self, epsilon: float = K.BM25_EPSILON) -> DataFrame:
         """Document frequency and idf per term; negative idf becomes epsilon times the mean idf."""
-        n = self.corpus().select("n_chunks").scalar()
-        raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        counted = (
-            self.postings.filter("term IS NOT NULL")
-            .groupBy("term")
-            .agg(F.count("*").alias("df"))
-            .withColumn("raw_idf", raw)
-        )
-        floor = counted.agg((F.avg("raw_idf") * epsilon).alias("floor")).scalar()
-        return counted.withColumn("idf", F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")))
+        floor = self.totals.select((F.col("mean_idf") * epsilon).alias("floor")).scalar()
+        return self.term_table.withColumn("idf", F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")))
 
     def query_terms(self, queries: DataFrame, synonyms=K.SYNONYMS, **token_options) -> DataFrame:
         """Query terms with how often each occurs in the expanded question."""
