@@ -49,7 +49,7 @@ def _question_file(spark, sf) -> str:
         F.lit("contracts").alias("category"), F.lit("").alias("reference_answer"), (i % 2 == 0).alias("is_ci_subset"),
     )
     blank = F.when(i % 3 == 0, F.lit("\n")).otherwise("")
-    lines = table(spark, sf, "benchmark").orderBy("item_id").coalesce(1).select(F.concat(F.to_json(row), blank).alias("value"))
+    lines = table(spark, sf, "benchmark").orderBy("item_id").select(F.concat(F.to_json(row), blank).alias("value"))
     lines.write.text(path)
     return path
 

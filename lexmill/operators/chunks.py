@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lexmill.functions import text as X
 from lexmill.functions.vectors import hash_embedding, point_id
 from lexmill.schemas import CHUNK_COLUMNS
-from lexmill.session import stage
+from lexmill.session import fits, stage
 
 COLLECTION = ["model_id", "dim", "corpus_hash"]
 
@@ -158,8 +158,7 @@ def upsert_vectors(
     merged = incoming
     if table_exists(spark, path):
         stored = spark.read.parquet(path)
-        touched = incoming.select(*place).distinct()
-        old = stored.join(F.broadcast(touched), place, "left_semi") if _few(touched) else stored.join(touched, place, "left_semi")
+        old = _touched_part(stored, incoming.select(*place).distinct(), place)
         if replace_by_article:
             sent = incoming.select(*COLLECTION, "article_number").distinct()
             old = old.join(sent, [*COLLECTION, "article_number"], "left_anti")
@@ -170,7 +169,7 @@ def upsert_vectors(
     )
     ready = stage(newest.select(*place, "point_id", "_r.*"), "upsert-out")
     (
-        ready.repartition(*place)
+        ready.hint("rebalance", *[F.col(c) for c in place])  # splits a bucket that a hot article fills
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*place)
@@ -178,8 +177,20 @@ def upsert_vectors(
     )
 
 
-def _few(touched: DataFrame, bound: int = 100_000) -> bool:
-    return touched.limit(bound + 1).count() <= bound
+def _touched_part(stored: DataFrame, touched: DataFrame, place: list[str], bound: int = 10_000) -> DataFrame:
+    """Stored rows of the touched buckets; a short list becomes a filter that prunes partitions."""
+    if not fits(touched, bound):
+        return stored.join(touched, place, "left_semi")
+    groups: dict[tuple, list[int]] = {}
+    for row in touched.collect():
+        groups.setdefault(tuple(row)[:-1], []).append(row.bucket)
+    wanted = F.lit(False)
+    for collection, buckets in groups.items():
+        same = F.col("bucket").isin(buckets)
+        for name, value in zip(COLLECTION, collection):
+            same = same & (F.col(name) == value)
+        wanted = wanted | same
+    return stored.filter(wanted)
 
 
 def suggested_buckets(n_rows: int, rows_per_bucket: int = 2_000_000) -> int:

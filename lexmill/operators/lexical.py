@@ -116,7 +116,7 @@ class LexicalIndex:
         extra = [c for c in ("filters", limit_column) if c and c in queries.columns]
         if extra:
             weights = weights.join(queries.select("query_id", *extra), "query_id")
-        weights = broadcast_if_small(stage(weights, "query-terms"))
+        weights = broadcast_if_small(stage(weights, "query-terms"), max_rows=1_000_000)
         avgdl = self.corpus().select("avgdl").scalar()
         gain = (
             F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1)
