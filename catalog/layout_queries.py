@@ -107,7 +107,7 @@ def header_selection_segmented(spark, sf):
 
 def parsed(spark, sf):
     lines = stage(L.column_lines(layout_spans(spark, sf)), "lines")
-    return lines, stage(L.select_headers(L.header_candidates(lines)), "headers")
+    return lines, stage(L.select_headers(stage(L.header_candidates(lines), "candidates")), "headers")
 
 
 ASSIGNED = f"""{WITH}, last_page AS (SELECT doc_id, max(page) AS lp FROM lines GROUP BY 1),

@@ -9,7 +9,6 @@ from lexmill import constants as K
 from lexmill.functions.binding import any_of, let
 
 WORD_EDGE = rf"(?:(?<=[{K.WORD}])(?![{K.WORD}])|(?<![{K.WORD}])(?=[{K.WORD}]))"
-LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 BLANKS = r"[ \t\x1F\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 TOKEN_PATTERN = rf"[\x{{0600}}-\x{{06FF}}{K.WORD}]{{2,}}"
 
@@ -52,11 +51,12 @@ def normalize_literal(text: str, teh_marbuta: bool = False) -> str:
 def clean_raw(col: Column) -> Column:
     """Readable text without extraction artefacts; at most one blank line in a row."""
     text = F.regexp_replace(text_or_empty(col), r"[\x{E000}-\x{F8FF}]", "")
-    text = F.translate(text, "\u00a0\u200b", " ")
+    text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    breaks = "\x0b\f\r\x1c\x1d\x1e\x85\u2028\u2029"
+    quotes, plain = "«»”“’‘", '""""' + "''"
+    text = F.translate(text, "\u00a0\t" + breaks + quotes + "\u200b", "  " + "\n" * len(breaks) + plain)
     text = F.regexp_replace(text, rf"(?:^|[{K.WS}])[\x{{064B}}-\x{{064D}}](?:[{K.WS}]|$)", " ")
-    text = F.translate(text, "«»”“’‘", '""""' + "''")
-    text = F.regexp_replace(text, LINE_BREAK, "\n")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(text, " {2,}", " ")
     text = F.regexp_replace(text, rf"{BLANKS}*\n{BLANKS}*", "\n")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 

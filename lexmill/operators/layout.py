@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill import constants as K
 from lexmill.functions import text as X
+from lexmill.session import fits
 
 DOC = "doc_id"
 ORDER = ["page", "y", "block", "line", "span"]
@@ -106,10 +107,12 @@ def select_headers(candidates: DataFrame, max_group: int = 20_000, pages_per_seg
     than a segment's candidates or a block's maps.
     """
     order = F.array_sort(F.collect_list(F.struct(*ORDER, "n"))).alias("cands")
-    counts = candidates.groupBy(DOC).agg(F.count("*").alias("_n"))
-    big = counts.filter(F.col("_n") > max_group).select(DOC)
-    small = candidates.join(big, DOC, "left_anti").groupBy(DOC).agg(order)
-    direct = small.select(DOC, _accepted(F.col("cands"), F.lit(0)).alias("kept"))
+    big = candidates.groupBy(DOC).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_group).select(DOC)
+    all_short = fits(big, 0)
+    short = candidates if all_short else candidates.join(big, DOC, "left_anti")
+    direct = short.groupBy(DOC).agg(order).select(DOC, _accepted(F.col("cands"), F.lit(0)).alias("kept"))
+    if all_short:
+        return direct.select(DOC, F.inline("kept"))
 
     large = candidates.join(big, DOC, "left_semi")
     segments = (
