@@ -257,3 +257,20 @@ def is_refusal(answer: Column, mark_ar: str = K.REFUSAL_MARK_AR, mark_en: str =
 def endpoint_template(path: Column) -> Column:
     """Collapse per-article paths to one label."""
     return F.when(path.startswith("/articles/"), F.lit("/articles/{number}")).otherwise(path)
+
+
+def fixed_decimals(value: Column, digits: int) -> Column:
+    """Number with fixed decimals; exact binary halves go to the even digit, as in C and Python.
+
+    ``format_string`` alone rounds every half up. A half is exact when it has few binary digits.
+    """
+    scaled = value * float(2 ** (digits + 1))
+    even = F.when(scaled == F.floor(scaled), F.bround(value, digits)).otherwise(value)
+    return F.format_string(f"%.{digits}f", even)
+
+
+def two_decimals(value: Column) -> Column:
+    """Two decimals of a share in [0, 1], exact at every half: those are listed."""
+    halves = [(2 * k + 1) / 200 for k in range(100)]
+    listed = F.create_map(*[F.lit(v) for h in halves for v in (h, f"{h:.2f}")])
+    return F.coalesce(F.try_element_at(listed, value), F.format_string("%.2f", value))

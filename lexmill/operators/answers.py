@@ -144,7 +144,7 @@ def grounding(answer: Column, hits: Column, threshold: float = 0.25) -> Column:
         )
 
     def by_overlap(cited: Column, backed: Column, overlap: Column) -> Column:
-        low = F.concat(F.lit("Answer has low overlap ("), F.format_string("%.2f", overlap), F.lit(") and lacks citations"))
+        low = F.concat(F.lit("Answer has low overlap ("), X.two_decimals(overlap), F.lit(") and lacks citations"))
         weak = (F.size(cited) == 0) & (overlap < threshold)
         return F.when(weak, verdict(False, overlap, low)).otherwise(
             verdict(True, overlap, "Grounded in retrieved context", good=backed)

@@ -173,3 +173,12 @@ def test_vectors(spark):
     size = sum(x * x for x in base) ** 0.5
     assert one(spark, text, lambda c: hash_embedding(c, dim)) == pytest.approx([x / size for x in base])
     assert one(spark, "art_1", point_id) == int(hashlib.sha256(b"art_1").hexdigest()[:15], 16)
+
+
+def test_fixed_decimals_round_like_python(spark):
+    values = [0.125, 0.375, 0.145, 0.165, 0.2, 1 / 3, 0.005, 1.0, 0.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.two_decimals(F.col("v")).alias("t")).collect()
+    assert [r.t for r in rows] == [f"{r.v:.2f}" for r in rows]
+    dyadic = [0.90625, 0.78125, 2.5, 0.5, 0.1234567]
+    rows = spark.createDataFrame([(v,) for v in dyadic], "v double").select("v", T.fixed_decimals(F.col("v"), 4).alias("t")).collect()
+    assert [r.t for r in rows] == [f"{r.v:.4f}" for r in rows]
