@@ -75,14 +75,15 @@ def doc_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold one of a question's lines whole: an equi join on the line."""
-    def lines(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(F.split("question", "\n")).alias("line")).distinct()
+    """Documents that hold one of a question's sentences whole: an equi join on the sentence."""
+    def sentences(df: DataFrame, key: str) -> DataFrame:
+        parts = df.select(key, F.explode(F.split("question", "[.\n]+")).alias("line"))
+        return parts.select(key, F.trim("line").alias("line")).filter("line <> ''").distinct()
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.col("text").alias("question"))
     return (
-        lines(doc_questions(spark, sf_dir), "query_id")
-        .join(lines(docs, "d"), "line")
+        sentences(doc_questions(spark, sf_dir), "query_id")
+        .join(sentences(docs, "d"), "line")
         .select("query_id", F.col("d").cast("int").alias("article_number"))
         .distinct()
     )

@@ -172,11 +172,11 @@ DOC_CHUNKS = """
 chunks AS (SELECT doc_id::VARCHAR AS chunk_id, doc_id::INTEGER AS article_number, NULL::INTEGER AS paragraph_number, text AS ctext FROM documents),
 queries AS (SELECT item_id AS query_id, text AS question FROM benchmark)"""
 
-# A document answers a question when it holds one of the question's lines whole.
-TRUTH = """
+# A document answers a question when it holds one of the question's sentences whole.
+TRUTH = r"""
 truth AS (SELECT DISTINCT q.query_id, d.doc_id::INTEGER AS article_number
-  FROM (SELECT item_id AS query_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) q
-  JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) d USING (line))"""
+  FROM (SELECT item_id AS query_id, trim(unnest(regexp_split_to_array(text, '[.\n]+'))) AS line FROM benchmark) q
+  JOIN (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.\n]+'))) AS line FROM documents) d USING (line) WHERE line <> '')"""
 
 
 def paragraphs(source: str, key: str, col: str, out: str) -> str:
