@@ -1,13 +1,17 @@
 """Session helpers: local test sessions, staged tables, size-checked broadcast."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: str = "8", app: str = "lexmill", shuffle_partitions: int = 8) -> SparkSession:
@@ -38,9 +42,33 @@ def staging_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="lexmill-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
     return _local_roots[app]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application, as ``--py-files`` would.
+
+    Functions that run in workers are pickled by name, so the workers must be able to import them
+    wherever the driver was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="lexmill-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "lexmill.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for place, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(place, name)
+                    out.write(full, os.path.join("lexmill", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table under the staging root and read it back.
 
