@@ -36,7 +36,7 @@ extractive AS (SELECT query_id, question, is_ar, n0, en0, CASE WHEN n = 0 THEN C
     WHEN n = 1 THEN {L(K.SINGLE_EN[0])} || n0 || {L(K.SINGLE_EN[1])} || en0
     WHEN is_ar THEN {L(K.MULTI_AR)} || parts ELSE {L(K.MULTI_EN)} || parts END AS quote FROM quoted),
 answers AS (SELECT query_id, question, is_ar, CASE query_id % 6 WHEN 0 THEN quote
-    WHEN 1 THEN 'see [Article ' || (n0 + 5000) || '] and [المادة ' || n0 || ']' WHEN 2 THEN 'Nothing here matches: ' || question
+    WHEN 1 THEN 'see [Article ' || (n0 + CASE WHEN query_id % 4 = 1 THEN 99999995000 ELSE 5000 END) || '] and [المادة ' || n0 || ']' WHEN 2 THEN 'Nothing here matches: ' || question
     WHEN 3 THEN {L(K.REFUSAL_EN)} WHEN 4 THEN ' ' ELSE 'Per Article ' || n0 || ': ' || en0 END AS answer FROM extractive),
 cited AS (SELECT query_id, answer, is_ar, {S.cited('answer')} AS nums FROM answers)"""
 
@@ -54,7 +54,7 @@ def answered(spark, sf):
     n0 = first["article_number"]
     answer = (
         F.when(q == 0, A.extractive_answer(F.col("hits"), F.col("is_ar")))
-        .when(q == 1, F.concat(F.lit("see [Article "), n0 + 5000, F.lit("] and [المادة "), n0, F.lit("]")))
+        .when(q == 1, F.concat(F.lit("see [Article "), n0 + F.when(F.col("query_id") % 4 == 1, F.lit(99_999_995_000)).otherwise(F.lit(5000)), F.lit("] and [المادة "), n0, F.lit("]")))
         .when(q == 2, F.concat(F.lit("Nothing here matches: "), F.col("question")))
         .when(q == 3, K.REFUSAL_EN)
         .when(q == 4, " ")

@@ -15,6 +15,7 @@ from catalog.answer_queries import TOKENS, token_events
 from lexmill import constants as K
 from lexmill.operators import chunks as C
 from lexmill.operators import monitor as M
+from lexmill.functions import text as T
 from lexmill.operators import quality as Q
 from lexmill.plans import ingest as I
 from lexmill.session import staging_root
@@ -158,6 +159,112 @@ def stream_reindex(spark, sf):
     return C.read_vectors(spark, store, "hash", 16, "base").select("chunk_id", "article_number", "version", "text_en")
 
 
+# Two corpora in which the same article numbers occur.
+TWO = f"""{S.ARTICLES}, two AS (SELECT * REPLACE ((article_number + 1) // 2 AS article_number), 'c' || (article_number % 2) AS corpus_id FROM articles)"""
+
+
+def two_corpora(spark, sf):
+    n = F.col("article_number")
+    return X.articles(spark, sf).withColumn("corpus_id", F.concat(F.lit("c"), n % 2)).withColumn("article_number", F.floor((n + 1) / 2).cast("int"))
+
+
+@query(
+    "multi_corpus_ingest",
+    f"""WITH {TWO} SELECT corpus_id || ':art_' || article_number AS chunk_id, corpus_id, article_number, 0::BIGINT AS version, {S.strip('text_en')} AS text_en,
+    CAST('0x' || substr(sha256(corpus_id || ':art_' || article_number), 1, 15) AS BIGINT) AS point_id FROM two""",
+)
+def multi_corpus_ingest(spark, sf):
+    store = fresh(spark, "vectors")
+    I.ingest(spark, two_corpora(spark, sf), store, "hash", 16, I.hash_embedder(16), corpus_hash="both", strategy="article", buckets=8)
+    rows = C.read_vectors(spark, store, "hash", 16, "both")
+    return rows.select("chunk_id", "corpus_id", "article_number", "version", "text_en", "point_id")
+
+
+@query(
+    "multi_corpus_violations",
+    f"""WITH {TWO}, f AS (SELECT corpus_id, article_number FROM two WHERE article_number % 101 <> 0 UNION ALL SELECT corpus_id, article_number FROM two WHERE article_number % 97 = 0),
+    want AS (SELECT corpus_id, unnest(range(1, 501)) AS article_number FROM (SELECT DISTINCT corpus_id FROM f))
+    SELECT 'duplicate' AS rule, corpus_id, article_number::INTEGER AS article_number FROM f GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'missing', corpus_id, article_number FROM (SELECT * FROM want EXCEPT SELECT corpus_id, article_number FROM f)
+    UNION ALL SELECT DISTINCT 'out_of_range', corpus_id, article_number FROM f WHERE article_number > 500""",
+)
+def multi_corpus_violations(spark, sf):
+    rows = two_corpora(spark, sf)
+    faulty = rows.filter("article_number % 101 <> 0").unionByName(rows.filter("article_number % 97 = 0"))
+    found = [("duplicate", Q.duplicate_keys(faulty)), ("missing", Q.missing_keys(faulty, 500)), ("out_of_range", Q.out_of_range_keys(faulty, 500))]
+    parts = [df.select(F.lit(rule).alias("rule"), "corpus_id", "article_number") for rule, df in found]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(
+    "ingest_forced",
+    f"""WITH {S.ARTICLES} SELECT 'art_' || article_number AS chunk_id, article_number, 2::BIGINT AS version, {S.strip('text_en')} AS text_en FROM articles WHERE article_number % 3 <> 0""",
+)
+def ingest_forced(spark, sf):
+    """Ingest, re-index, then a forced ingest of fewer articles: only its rows are left."""
+    store, embed = fresh(spark, "vectors"), I.hash_embedder(16)
+    options = dict(strategy="article", buckets=8)
+    I.ingest(spark, X.articles(spark, sf), store, "hash", 16, embed, corpus_hash="base", **options)
+    I.reindex(spark, _amended(spark, sf), store, "hash", 16, embed, "base", **options)
+    I.ingest(spark, X.articles(spark, sf).filter("article_number % 3 <> 0"), store, "hash", 16, embed, corpus_hash="base", force=True, **options)
+    return C.read_vectors(spark, store, "hash", 16, "base").select("chunk_id", "article_number", "version", "text_en")
+
+
+PARTS = """SELECT 'art_' || article_number || '_p' || i AS chunk_id, article_number, {v}::BIGINT AS version FROM ({a}), (SELECT unnest(range(1, {n} + 1)) AS i)"""
+REPLACED = f"""WITH a AS (SELECT (doc_id + 1)::INTEGER AS article_number FROM documents)
+{PARTS.format(v=1, n=2, a="SELECT * FROM a WHERE article_number % 5 = 0")} UNION ALL {PARTS.format(v=0, n=4, a="SELECT * FROM a WHERE article_number % 5 <> 0")}"""
+
+
+def _of_paragraphs(spark, sf, n: int):
+    """Articles of ``n`` short numbered paragraphs."""
+    body = "\n".join(f"({i}) paragraph {i}" for i in range(1, n + 1))
+    return X.articles(spark, sf).withColumns({"text_ar": F.lit(body), "text_en": F.lit(body)})
+
+
+def _replaced(spark, sf, first: int, second: int):
+    store, embed = fresh(spark, "vectors"), I.hash_embedder(16)
+    options = dict(max_chars=10)
+    I.ingest(spark, _of_paragraphs(spark, sf, 4), store, "hash", 16, embed, corpus_hash="base", buckets=first, **options)
+    changed = _of_paragraphs(spark, sf, 2).filter("article_number % 5 = 0")
+    for _ in range(2):  # the same documents again are the same write
+        I.reindex(spark, changed, store, "hash", 16, embed, "base", replace_by_article=True, buckets=second, **options)
+    return C.read_vectors(spark, store, "hash", 16, "base").select("chunk_id", "article_number", "version")
+
+
+@query("reindex_replace_by_article", REPLACED)
+def reindex_replace_by_article(spark, sf):
+    return _replaced(spark, sf, 8, 8)
+
+
+@query("reindex_other_buckets", REPLACED)
+def reindex_other_buckets(spark, sf):
+    return _replaced(spark, sf, 8, 16)
+
+
+@query(
+    "stream_reindex_restart",
+    f"""WITH {S.ARTICLES} SELECT 'art_' || article_number AS chunk_id, article_number, CASE WHEN article_number % 10 = 0 THEN 6 WHEN article_number % 5 = 0 THEN 5 ELSE 0 END::BIGINT AS version,
+    CASE WHEN article_number % 10 = 0 THEN 'Third. ' WHEN article_number % 5 = 0 THEN 'Second. ' ELSE '' END || text_en AS text_en FROM (SELECT article_number, {S.strip('text_en')} AS text_en FROM articles)""",
+)
+def stream_reindex_restart(spark, sf):
+    """Two streams with checkpoints of their own after a re-index of a high version; the last one is started twice."""
+    store, embed = fresh(spark, "vectors"), I.hash_embedder(16)
+    options = dict(strategy="article", buckets=8)
+    rows, n = X.articles(spark, sf), F.col("article_number")
+    I.ingest(spark, rows, store, "hash", 16, embed, corpus_hash="base", **options)
+    trimmed = T.strip(F.col("text_en"))
+    first = rows.filter(n % 5 == 0)
+    I.reindex(spark, first, store, "hash", 16, embed, "base", version=4, **options)
+    for word, part in (("Second. ", 5), ("Third. ", 10)):
+        inbox, checkpoint = fresh(spark, "inbox"), fresh(spark, "ckpt")
+        changed = rows.filter(n % part == 0).withColumn("text_en", F.concat(F.lit(word), trimmed))
+        changed.select(*[f.name for f in R.ARTICLE.fields]).coalesce(1).write.json(inbox)
+        for _ in range(2 if part == 10 else 1):
+            docs = R.stream_articles(spark, inbox, fmt="jsonl")
+            Z.reindex_stream(docs, store, checkpoint, "hash", 16, embed, "base", **options).awaitTermination()
+    return C.read_vectors(spark, store, "hash", 16, "base").select("chunk_id", "article_number", "version", "text_en")
+
+
 # --- streams --------------------------------------------------------------------------------
 def stream_table(spark, sf, name: str):
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema

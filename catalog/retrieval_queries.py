@@ -101,7 +101,7 @@ BM25_DOCS = f"WITH {S.DOC_CHUNKS}, {S.bm25(5)}"
 
 @query(
     "bm25_term_stats",
-    f"WITH {S.DOC_CHUNKS}, {S.bm25(5)} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    f"WITH {S.DOC_CHUNKS}, {S.bm25(5).split('qtok AS')[0].rstrip().rstrip(',')} SELECT term, df, round(idf, 6) AS idf FROM idf",
 )
 def bm25_term_stats(spark, sf):
     return doc_index(spark, sf).terms().select("term", "df", F.round("idf", 6).alias("idf"))
@@ -125,6 +125,20 @@ def bm25_topk(spark, sf):
     return hits.select("query_id", "rank", "chunk_id", "raw", F.round("score", 6).alias("score"))
 
 
+@query(
+    "multi_corpus_bm25",
+    f"""WITH {S.DOC_CHUNKS.replace("doc_id::VARCHAR AS chunk_id, doc_id::INTEGER AS article_number", "'c' || (doc_id % 2) || ':art_' || (doc_id // 2) AS chunk_id, (doc_id // 2)::INTEGER AS article_number")},
+    {S.bm25(5)} SELECT query_id, rank::INTEGER AS rank, chunk_id, raw FROM bm25""",
+)
+def multi_corpus_bm25(spark, sf):
+    """Two corpora with the same article numbers in one index."""
+    d = F.col("article_number")
+    number = F.floor(d / 2).cast("int")
+    chunks = X.doc_chunks(spark, sf).withColumn("chunk_id", F.concat(F.lit("c"), d % 2, F.lit(":art_"), number))
+    chunks = chunks.withColumn("article_number", number)
+    return LexicalIndex.build(chunks).search(X.doc_questions(spark, sf), limit=5).select("query_id", "rank", "chunk_id", "raw")
+
+
 @query(
     "bm25_filtered",
     f"""WITH {S.DOC_CHUNKS.replace("text AS ctext FROM documents", "text AS ctext, source AS book, lang AS chapter, coalesce(quality = 0, false) AS is_repealed FROM documents LEFT JOIN labels USING (doc_id)")},

@@ -62,10 +62,10 @@ def stem_steps(source: str, keys: str) -> str:
     return f"SELECT {keys}, w AS term FROM {step}"
 
 
-def numbers(text: str, pattern: str, group: int) -> str:
+def numbers(text: str, pattern: str, group: int, kind: str = "INTEGER") -> str:
     return (
         f"list_transform(regexp_extract_all({text}, {lit(pattern)}, {group}), "
-        f"lambda n: TRY_CAST(n AS INTEGER))"
+        f"lambda n: TRY_CAST(n AS {kind}))"
     )
 
 
@@ -86,8 +86,8 @@ def references(ar: str, en: str, current: str = "NULL::INTEGER") -> str:
 
 def cited(x: str) -> str:
     t = digits(x)
-    bracketed = numbers(t, K.CITED_BRACKET_PATTERN, 1)
-    plain = numbers(t, rf"(?i)(?:^|[^{K.WORD}])(?:المادة|Article)[{K.WS}]*([0-9]+)", 1)
+    bracketed = numbers(t, K.CITED_BRACKET_PATTERN, 1, "BIGINT")
+    plain = numbers(t, rf"(?i)(?:^|[^{K.WORD}])(?:المادة|Article)[{K.WS}]*([0-9]+)", 1, "BIGINT")
     return f"list_sort(list_distinct(CASE WHEN len({bracketed}) > 0 THEN {bracketed} ELSE {plain} END))"
 
 

@@ -330,7 +330,7 @@ def embedding_inputs(spark, sf):
 
 
 CITING = (
-    "text || CASE doc_id % 4 WHEN 0 THEN ' [المادة ' || (doc_id + 1) || '] [Article ' || (doc_id + 3) || ']'"
+    "text || CASE doc_id % 4 WHEN 0 THEN ' [المادة ' || (doc_id + 99999999999) || '] [Article ' || (doc_id + 3) || ']'"
     " WHEN 1 THEN ' as in article ' || (doc_id + 2) || ' and المادة ٧٧.' ELSE '' END"
 )
 
@@ -339,7 +339,7 @@ CITING = (
 def cited_numbers(spark, sf):
     d = F.col("doc_id")
     tail = (
-        F.when(d % 4 == 0, F.concat(F.lit(" [المادة "), d + 1, F.lit("] [Article "), d + 3, F.lit("]")))
+        F.when(d % 4 == 0, F.concat(F.lit(" [المادة "), d + 99_999_999_999, F.lit("] [Article "), d + 3, F.lit("]")))
         .when(d % 4 == 1, F.concat(F.lit(" as in article "), d + 2, F.lit(" and المادة ٧٧.")))
         .otherwise("")
     )
@@ -364,21 +364,26 @@ def refusal_detection(spark, sf):
 
 @query(
     "judge_outputs",
-    """WITH j AS (SELECT doc_id, CAST((doc_id % 150) AS DOUBLE) / 100 - 0.2 AS v, doc_id % 6 AS k FROM documents)
-    SELECT doc_id, CASE k WHEN 4 THEN NULL WHEN 3 THEN 0.0 ELSE round(least(1.0, greatest(0.0, round(v, 2))), 6) END AS faithfulness,
-      CASE k WHEN 4 THEN NULL ELSE 0.5::DOUBLE END AS answer_relevancy,
-      CASE k WHEN 4 THEN 'Error: judge output is not valid' WHEN 2 THEN 'LLM judged successfully' ELSE 'ok' END AS reason FROM j""",
+    """WITH j AS (SELECT doc_id, CAST((doc_id % 150) AS DOUBLE) / 100 - 0.2 AS v, doc_id % 10 AS k FROM documents)
+    SELECT doc_id, CASE WHEN k IN (4, 6, 8, 9) THEN NULL WHEN k = 3 THEN 0.0 WHEN k = 7 THEN 1.0 ELSE round(least(1.0, greatest(0.0, round(v, 2))), 6) END AS faithfulness,
+      CASE WHEN k IN (4, 6, 8, 9) THEN NULL WHEN k = 7 THEN 0.0 ELSE 0.5::DOUBLE END AS answer_relevancy,
+      CASE WHEN k IN (4, 6, 8, 9) THEN 'Error: judge output is not valid' WHEN k IN (2, 7) THEN 'LLM judged successfully' ELSE 'ok' END AS reason FROM j""",
 )
 def judge_outputs(spark, sf):
     d = F.col("doc_id")
     v = F.round((d % 150).cast("double") / 100 - 0.2, 2)
     full = F.format_string('{"faithfulness": %.2f, "answer_relevancy": 0.5, "reason": "ok"}', v)
+    k = d % 10
     raw = (
-        F.when(d % 6 == 0, F.concat(F.lit("Here:\n```json\n"), full, F.lit("\n```\nDone")))
-        .when(d % 6 == 1, F.concat(F.lit("```\n"), full, F.lit("\n```")))
-        .when(d % 6 == 2, F.format_string('{"faithfulness": "%.2f", "answer_relevancy": 0.5}', v))
-        .when(d % 6 == 3, F.lit('{"answer_relevancy": 0.5, "reason": "ok"}'))
-        .when(d % 6 == 4, F.concat(F.lit("not json "), full))
+        F.when(k == 0, F.concat(F.lit("Here:\n```json\n"), full, F.lit("\n```\nDone")))
+        .when(k == 1, F.concat(F.lit("```\n"), full, F.lit("\n```")))
+        .when(k == 2, F.format_string('{"faithfulness": "%.2f", "answer_relevancy": 0.5}', v))
+        .when(k == 3, F.lit('{"answer_relevancy": 0.5, "reason": "ok"}'))
+        .when(k == 4, F.concat(F.lit("not json "), full))
+        .when(k == 6, F.concat(full, F.lit(" Done")))
+        .when(k == 7, F.lit('{"faithfulness": true, "answer_relevancy": false}'))
+        .when(k == 8, F.concat(full, F.lit(" "), full))
+        .when(k == 9, F.lit('{"faithfulness": null, "answer_relevancy": 0.5, "reason": "ok"}'))
         .otherwise(full)
     )
     return (

@@ -54,8 +54,8 @@ def small_talk(query: Column, assistant_name: str | None = None) -> Column:
 def parse_judgement(raw: Column) -> Column:
     """Struct of two clamped scores and a reason from a judge's JSON, fenced or bare.
 
-    A missing key scores 0; text that is not a JSON object, or a score that is not a number,
-    gives null scores and an error reason.
+    A missing key scores 0, true and false score 1 and 0. Text that is not one JSON object and nothing
+    else, or a score that is not a number, gives null scores and an error reason.
     """
     body = strip(raw)
     tagged = F.get(F.split(F.get(F.split(body, "```json"), F.lit(1)), "```"), F.lit(0))
@@ -64,22 +64,26 @@ def parse_judgement(raw: Column) -> Column:
         F.when(body.contains("```json"), tagged).when(body.contains("```"), fenced).otherwise(body)
     )
 
-    def scored(fields: Column) -> Column:
-        def score(key: str) -> Column:
-            value = F.when(F.map_contains_key(fields, F.lit(key)), fields[key].try_cast("double")).otherwise(0.0)
-            return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    def scored(parsed: Column) -> Column:
+        def at(key: str) -> str:
+            return f"$[0].{key}"
+
+        def kind(key: str) -> Column:
+            return F.schema_of_variant(F.try_variant_get(parsed, at(key), "variant"))
 
-        def numeric_or_absent(key: str) -> Column:
-            return ~F.map_contains_key(fields, F.lit(key)) | fields[key].try_cast("double").isNotNull()
+        def score(key: str) -> Column:
+            value = F.when(kind(key).isNull(), 0.0).otherwise(F.try_variant_get(parsed, at(key), "double"))
+            return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
-        ok = fields.isNotNull() & numeric_or_absent("faithfulness") & numeric_or_absent("answer_relevancy")
+        alone = parsed.isNotNull() & F.try_variant_get(parsed, "$[1]", "variant").isNull()
+        ok = body.startswith("{") & alone & score("faithfulness").isNotNull() & score("answer_relevancy").isNotNull()
         return F.struct(
             F.when(ok, score("faithfulness")).alias("faithfulness"),
             F.when(ok, score("answer_relevancy")).alias("answer_relevancy"),
-            F.when(ok, F.coalesce(fields["reason"], F.lit("LLM judged successfully")))
+            F.when(ok, F.coalesce(F.try_variant_get(parsed, at("reason"), "string"), F.lit("LLM judged successfully")))
             .otherwise(F.lit("Error: judge output is not valid"))
             .alias("reason"),
         )
 
-    # an object opens with a brace; from_json alone would also accept an array of one object
-    return let(F.when(body.startswith("{"), F.from_json(body, "map<string,string>")), scored)
+    # read as the only element of an array, so that text after the object makes it invalid
+    return let(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), scored)

@@ -71,7 +71,7 @@ def marker_number(col: Column, max_article: int = K.MAX_ARTICLE) -> Column:
 
 def _numbers(text: Column, pattern: str, group: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.transform(found, lambda n: n.try_cast("int"))
+    return F.transform(found, lambda n: F.coalesce(n.try_cast("bigint"), F.lit(2**63 - 1)))
 
 
 def _numbers_inside(text: Column, pattern: str) -> Column:
@@ -240,7 +240,10 @@ def embedding_text(mode: str, normalized: Column, english: Column, prefix: str =
 
 
 def cited_numbers(text: Column) -> Column:
-    """Bracketed article citations; plain mentions only when there are none."""
+    """Bracketed article citations; plain mentions only when there are none.
+
+    Numbers are long integers. More digits than these hold can name no article: the largest long stands for them.
+    """
     western = western_digits(text)
     plain = rf"(?i){WORD_EDGE}(?:المادة|Article)[{K.WS}]*([0-9]+){WORD_EDGE}"
     found = let(

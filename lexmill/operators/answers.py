@@ -120,7 +120,7 @@ def citations(answer: Column, hits: Column, prefix: str = K.CITATION_PREFIX) ->
 def grounding(answer: Column, hits: Column, threshold: float = 0.25) -> Column:
     """Grounding verdict: first rule that applies decides."""
     clean = X.text_or_empty(answer)
-    retrieved = F.transform(hits, lambda h: h["article_number"])
+    retrieved = F.transform(hits, lambda h: h["article_number"].cast("bigint"))
     words = F.filter(F.array_distinct(F.split(X.normalize(clean), " ")), lambda t: F.length(t) > 2)
     normalized = F.transform(
         hits,
@@ -132,7 +132,7 @@ def grounding(answer: Column, hits: Column, threshold: float = 0.25) -> Column:
             F.transform(hits, lambda h: F.split(F.lower(h["text_en"]), f"[{K.WS}]+")),
         )
     )
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<bigint>")
 
     def verdict(ok: bool, score: Column | float, why: Column | str, bad: Column = none, good: Column = none) -> Column:
         return F.struct(

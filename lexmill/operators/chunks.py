@@ -24,7 +24,8 @@ def chunk_articles(
     """One row per chunk: short articles whole, long ones by paragraph with both languages paired.
 
     The shorter language repeats its last paragraph. ``max_chars`` only decides whether to split
-    and ``overlap`` is accepted without effect, as in the behaviour this follows.
+    and ``overlap`` is accepted without effect, as in the behaviour this follows. With a ``corpus_id``
+    column the chunk ids begin with it, so equal numbers of several corpora stay apart.
     """
     if strategy not in ("article", "article_paragraph"):
         raise ValueError(f"unknown chunk strategy: {strategy}")
@@ -52,9 +53,10 @@ def chunk_articles(
     kept = [c for c in rows.columns if c not in ("text_ar", "text_en", text_column, "_ar", "_en", "_ar_parts", "_en_parts")]
     chunks = rows.select(*kept, F.inline(pieces))
     number, i = F.col("article_number"), F.col("_i")
+    named = [F.coalesce(F.col("corpus_id").cast("string"), F.lit("")), F.lit(":")] if "corpus_id" in rows.columns else []
     chunks = chunks.withColumns(
         {
-            "chunk_id": F.concat(F.lit("art_"), number, F.when(F.col("_whole"), "").otherwise(F.concat(F.lit("_p"), i))),
+            "chunk_id": F.concat(*named, F.lit("art_"), number, F.when(F.col("_whole"), "").otherwise(F.concat(F.lit("_p"), i))),
             "citation": F.when(F.col("_whole"), F.col("citation")).otherwise(F.concat("citation", F.lit(", Paragraph "), i)),
             "paragraph_number": F.when(~F.col("_whole"), i),
             "text_ar_normalized": X.normalize(F.col("text_ar")),
@@ -138,36 +140,83 @@ def read_vectors(spark: SparkSession, path: str, model_id: str, dim: int, corpus
     )
 
 
+def article_key(df: DataFrame) -> list[str]:
+    return [c for c in ("corpus_id", "article_number") if c in df.columns]
+
+
+def stored_buckets(spark: SparkSession, path: str, rows: DataFrame) -> dict[tuple, int]:
+    """Bucket count of each collection of ``rows`` that is already stored, from the folder names."""
+    if not table_exists(spark, path):
+        return {}
+    wanted = rows.select(*COLLECTION).distinct()
+    found = spark.read.parquet(path).select(*COLLECTION, "buckets").distinct().join(F.broadcast(wanted.limit(10_000)), COLLECTION)
+    return {tuple(r)[:-1]: r.buckets for r in found.collect()}  # collections named in one call
+
+
+def next_version(
+    spark: SparkSession, path: str, model_id: str, dim: int, corpus_hash: str, writer: str | None = None, anytime: bool = True
+) -> int:
+    """Number of the next write of a collection. A ``writer`` that is stored already gets its own number again;
+    with ``anytime`` off only if nothing was written since."""
+    if not table_exists(spark, path):
+        return 0
+    have = read_vectors(spark, path, model_id, dim, corpus_hash)
+    row = have.agg(F.max("version").alias("last"), F.max(F.when(F.col("writer") == F.lit(writer), F.col("version"))).alias("own")).first()
+    if row.own is not None and (anytime or row.own == row.last):
+        return row.own
+    return 0 if row.last is None else row.last + 1
+
+
 def upsert_vectors(
     spark: SparkSession,
     path: str,
     rows: DataFrame,
     buckets: int = 64,
     replace_by_article: bool = False,
+    replace_collection: bool = False,
 ) -> None:
     """Merge ``rows`` into the stored table, rewriting only the touched buckets.
 
-    Rows carry the collection columns, ``point_id`` and ``version``. The merged buckets are staged
-    first, so the overwrite never reads what it replaces and can be replayed after a failure.
-    ``replace_by_article`` also drops stored chunks of the incoming articles that were not resent.
+    Rows carry the collection columns, ``point_id`` and ``version``. Rows of an article share a bucket,
+    whatever the call, and the bucket count is part of the stored layout: a collection keeps the count of its
+    first write. The merged buckets are staged first, so the overwrite never reads what it replaces and can be
+    replayed after a failure. ``replace_by_article`` also drops stored chunks of the incoming articles that were
+    not resent, ``replace_collection`` all stored rows of the incoming collections.
     """
-    place = [*COLLECTION, "bucket"]
-    by = "article_number" if replace_by_article else "point_id"
-    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
+    place = [*COLLECTION, "buckets", "bucket"]
+    rows = rows if "writer" in rows.columns else rows.withColumn("writer", F.lit(None).cast("string"))
+    known = stored_buckets(spark, path, rows)
+    count = F.lit(buckets)
+    for collection, n in known.items():
+        same = F.lit(True)
+        for name, value in zip(COLLECTION, collection):
+            same = same & (F.col(name) == F.lit(value))
+        count = F.when(same, F.lit(n)).otherwise(count)
+    keyed = rows.withColumn("buckets", count.cast("int"))
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(*article_key(rows)), F.col("buckets")).cast("int"))
     incoming = stage(keyed, "upsert-in")
     merged = incoming
-    if table_exists(spark, path):
-        stored = spark.read.parquet(path)
-        old = _touched_part(stored, incoming.select(*place).distinct(), place)
+    if table_exists(spark, path) and not replace_collection:
+        old = _touched_part(spark.read.parquet(path), incoming.select(*place).distinct(), place)
         if replace_by_article:
-            sent = incoming.select(*COLLECTION, "article_number").distinct()
-            old = old.join(sent, [*COLLECTION, "article_number"], "left_anti")
+            # a stored paragraph is stale only against a newer write of its article
+            sent = incoming.groupBy(*COLLECTION, *article_key(incoming)).agg(F.max("version").alias("_sent"))
+            old = old.join(sent, [*COLLECTION, *article_key(incoming)], "left")
+            old = old.filter("_sent IS NULL OR version > _sent").drop("_sent")
         merged = old.unionByName(incoming, allowMissingColumns=True)
     # the bucket and collection are functions of the key, so they ride along in the group key
+    others = [c for c in merged.columns if c not in (*place, "point_id")]
     newest = merged.groupBy(*place, "point_id").agg(
-        F.max_by(F.struct(*[c for c in merged.columns if c not in (*place, "point_id")]), "version").alias("_r")
+        F.max_by(F.struct(*others), F.struct("version", F.xxhash64(*[c for c in others if c != "version"]))).alias("_r")
     )
     ready = stage(newest.select(*place, "point_id", "_r.*"), "upsert-out")
+    stale = []
+    if replace_collection and table_exists(spark, path):
+        have = spark.read.parquet(path).select(*place).distinct()
+        gone = have.join(F.broadcast(incoming.select(*COLLECTION).distinct()), COLLECTION, "left_semi").join(
+            incoming.select(*place).distinct(), place, "left_anti"
+        )
+        stale = gone.collect()  # folders of the replaced collections
     (
         ready.hint("rebalance", *[F.col(c) for c in place])  # splits a bucket that a hot article fills
         .write.mode("overwrite")
@@ -175,6 +224,10 @@ def upsert_vectors(
         .partitionBy(*place)
         .parquet(path)
     )
+    for row in stale:
+        escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *[f"{c}={escape(str(row[c]))}" for c in place]]))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _touched_part(stored: DataFrame, touched: DataFrame, place: list[str], bound: int = 10_000) -> DataFrame:
@@ -187,10 +240,10 @@ def _touched_part(stored: DataFrame, touched: DataFrame, place: list[str], bound
     wanted = F.lit(False)
     for collection, buckets in groups.items():
         same = F.col("bucket").isin(buckets)
-        for name, value in zip(COLLECTION, collection):
+        for name, value in zip(place[:-1], collection):
             same = same & (F.col(name) == value)
         wanted = wanted | same
-    return stored.filter(wanted)
+    return stored.filter(wanted)  # a bucket count in the folder names is fixed by the collection
 
 
 def suggested_buckets(n_rows: int, rows_per_bucket: int = 2_000_000) -> int:

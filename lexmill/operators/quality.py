@@ -13,17 +13,28 @@ class CorpusValidationError(ValueError):
     """Raised when a corpus breaks a rule; carries the first messages and the total."""
 
 
+def keys_of(articles: DataFrame) -> list[str]:
+    """Article key: with ``corpus_id`` where the table holds several corpora."""
+    return ["corpus_id", KEY] if "corpus_id" in articles.columns else [KEY]
+
+
 def duplicate_keys(articles: DataFrame) -> DataFrame:
-    return articles.groupBy(KEY).agg(F.count("*").alias("n")).filter("n > 1")
+    return articles.groupBy(*keys_of(articles)).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def missing_keys(articles: DataFrame, last: int = K.MAX_ARTICLE) -> DataFrame:
-    expected = articles.sparkSession.range(1, last + 1).select(F.col("id").cast("int").alias(KEY))
-    return expected.join(articles.select(KEY).distinct(), KEY, "left_anti")
+    """Numbers up to ``last`` that a corpus lacks; each corpus is expected to have all of them."""
+    keys = keys_of(articles)
+    if len(keys) == 1:
+        expected = articles.sparkSession.range(1, last + 1).select(F.col("id").cast("int").alias(KEY))
+    else:
+        numbers = F.explode(F.sequence(F.lit(1), F.lit(last))).alias(KEY)
+        expected = articles.select("corpus_id").distinct().select("corpus_id", numbers)
+    return expected.join(articles.select(*keys).distinct(), keys, "left_anti")
 
 
 def out_of_range_keys(articles: DataFrame, last: int = K.MAX_ARTICLE) -> DataFrame:
-    return articles.filter(~F.col(KEY).between(1, last)).select(KEY).distinct()
+    return articles.filter(~F.col(KEY).between(1, last)).select(*keys_of(articles)).distinct()
 
 
 def _broken(rules: list[tuple[str, Column, Column]]) -> Column:
@@ -72,20 +83,25 @@ def row_violations(
         ("repeal_unknown", ~known & flag, say(F.lit("Article flagged as repealed but not in known repealed list"))),
         ("source_page", F.col("source_page") < 1, say(F.lit("Invalid source_page ("), F.col("source_page"), F.lit(")"))),
     ]
-    return articles.select(KEY, F.inline(_broken(rules)))
+    return articles.select(*keys_of(articles), F.inline(_broken(rules)))
 
 
 def violations(articles: DataFrame, last: int = K.MAX_ARTICLE, **options) -> DataFrame:
-    """Every violation of a corpus as ``(rule, article_number, message)``; an empty corpus is one."""
+    """Every violation of a corpus as ``(rule, article_number, message)``; an empty corpus is one.
+
+    A ``corpus_id`` column keys all rules and comes with the rows.
+    """
+    keys = keys_of(articles)
+
     def keyed(df: DataFrame, rule: str, text: str) -> DataFrame:
-        return df.select(F.lit(rule).alias("rule"), KEY, F.concat(F.lit(text), F.col(KEY)).alias("message"))
+        return df.select(F.lit(rule).alias("rule"), *keys, F.concat(F.lit(text), F.col(KEY)).alias("message"))
 
     empty = (
         articles.agg(F.count("*").alias("n"))
         .filter("n = 0")
         .select(
             F.lit("empty").alias("rule"),
-            F.lit(None).cast("int").alias(KEY),
+            *[F.lit(None).cast(articles.schema[k].dataType).alias(k) for k in keys],
             F.lit("Corpus is empty: 0 articles found.").alias("message"),
         )
     )
@@ -93,7 +109,7 @@ def violations(articles: DataFrame, last: int = K.MAX_ARTICLE, **options) -> Dat
         empty.unionByName(keyed(duplicate_keys(articles), "duplicate", "Duplicate article number: "))
         .unionByName(keyed(missing_keys(articles, last), "missing", "Missing article number: "))
         .unionByName(keyed(out_of_range_keys(articles, last), "out_of_range", "Unexpected article number out of bounds: "))
-        .unionByName(row_violations(articles, **options).select("rule", KEY, "message"))
+        .unionByName(row_violations(articles, **options).select("rule", *keys, "message"))
     )
 
 
@@ -103,7 +119,7 @@ def assert_valid(articles: DataFrame, shown: int = 20, **options) -> None:
     try:
         total = found.count()
         if total:
-            first = [r.message for r in found.orderBy(KEY, "rule").limit(shown).collect()]
+            first = [r.message for r in found.orderBy(*keys_of(articles), "rule").limit(shown).collect()]
             more = f"\n ... and {total - shown} more" if total > shown else ""
             listed = "\n".join(f" - {m}" for m in first)
             raise CorpusValidationError(f"Corpus validation failed with {total} error(s):\n{listed}{more}")
@@ -163,10 +179,14 @@ def spot_check(articles: DataFrame, sample_size: int = 20, seed: int = 42, porta
 
 
 def lookup(requests: DataFrame, articles: DataFrame, last: int = K.MAX_ARTICLE) -> DataFrame:
-    """Requested numbers with their article, or ``found = false`` when absent or out of range."""
+    """Requested numbers with their article, or ``found = false`` when absent or out of range.
+
+    With several corpora a request names its ``corpus_id`` too; without one it finds the number in each.
+    """
     have = articles.withColumn("_have", F.lit(True))
+    keys = [k for k in keys_of(articles) if k in requests.columns]
     return (
-        requests.join(have, KEY, "left")
+        requests.join(have, keys, "left")
         .withColumn("found", F.coalesce("_have", F.lit(False)) & F.col(KEY).between(1, last))
         .drop("_have")
     )

@@ -112,7 +112,7 @@ def answer_log(
 
 
 def _verdict(reason: str) -> Column:
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<bigint>")
     return F.struct(
         F.lit(True).alias("is_grounded"), none.alias("hallucinated_citations"), none.alias("grounded_citations"),
         F.lit(1.0).alias("confidence_score"), F.lit(reason).alias("reason"),

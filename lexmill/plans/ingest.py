@@ -33,7 +33,10 @@ def ingest(
     max_chars: int = 1200,
     buckets: int = 64,
 ) -> dict:
-    """Chunk, embed and store a corpus unless this (model, dimension, corpus) already has rows."""
+    """Chunk, embed and store a corpus unless this (model, dimension, corpus) already has rows.
+
+    ``force`` replaces the stored collection, also rows of later re-indexing.
+    """
     corpus_hash = corpus_hash or table_fingerprint(articles).first().fingerprint
     status = {
         "collection_name": C.collection_name(model_id, dim, corpus_hash), "model_id": model_id,
@@ -43,8 +46,9 @@ def ingest(
         known = C.read_vectors(spark, store, model_id, dim, corpus_hash).count()
         if known:
             return status | {"chunks_count": known, "status": "skipped_already_exists"}
-    rows = _vectors(C.chunk_articles(articles, strategy, max_chars), embed, model_id, dim, corpus_hash, version=0)
-    C.upsert_vectors(spark, store, rows, buckets)
+    version = C.next_version(spark, store, model_id, dim, corpus_hash)
+    rows = _vectors(C.chunk_articles(articles, strategy, max_chars), embed, model_id, dim, corpus_hash, version)
+    C.upsert_vectors(spark, store, rows, buckets, replace_collection=force)
     return status | {
         "chunks_count": C.read_vectors(spark, store, model_id, dim, corpus_hash).count(),
         "articles_count": articles.count(),
@@ -60,19 +64,34 @@ def reindex(
     dim: int,
     embed: Embedder,
     corpus_hash: str = "dynamic",
-    version: int = 1,
+    version: int | None = None,
     replace_by_article: bool = False,
     strategy: str = "article_paragraph",
     max_chars: int = 1200,
     buckets: int = 64,
+    writer: str | None = None,
+    order_by: str | None = None,
 ) -> dict:
-    """Add new or amended articles to an existing collection.
+    """Add new or amended articles to an existing collection; the last write wins.
 
-    ``version`` orders writes of the same chunk, so replaying a batch changes nothing.
+    Writes of a collection are numbered in the store. ``writer`` names a write that may be replayed: it keeps
+    its number, so a replay changes nothing; without a name, the same documents sent twice in a row are one
+    write. An explicit ``version`` takes the place of the number. Of several
+    versions of an article in one call the one with the greatest ``order_by`` counts, ties by content.
     ``replace_by_article`` also removes paragraphs an amended article no longer has.
     """
+    if version is None:
+        named = writer is not None
+        writer = writer or "content:" + table_fingerprint(documents).first().fingerprint
+        version = C.next_version(spark, store, model_id, dim, corpus_hash, writer, anytime=named)
+    if order_by is not None:
+        keys = C.article_key(documents)
+        rest = [c for c in documents.columns if c not in keys]
+        newest = documents.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order_by, F.xxhash64(*rest))).alias("_r"))
+        documents = newest.select(*keys, "_r.*").select(*documents.columns)
     chunks = C.chunk_articles(documents, strategy, max_chars)
-    rows = stage(_vectors(chunks, embed, model_id, dim, corpus_hash, version), "reindex")
+    rows = _vectors(chunks, embed, model_id, dim, corpus_hash, version).withColumn("writer", F.lit(writer).cast("string"))
+    rows = stage(rows, "reindex")
     C.upsert_vectors(spark, store, rows, buckets, replace_by_article)
     counts = rows.agg(F.count_distinct("article_number").alias("a"), F.count("*").alias("c")).first()
     return {

@@ -17,9 +17,14 @@ def reindex_stream(
     documents: DataFrame, store: str, checkpoint: str, model_id: str, dim: int, embed: Embedder,
     corpus_hash: str = "dynamic", available_now: bool = True, **options,
 ) -> StreamingQuery:
-    """Re-index documents as they arrive. The batch id is the version, so replays are harmless."""
+    """Re-index documents as they arrive; each batch is the newest write of its collection.
+
+    The write is named by the query's id, which its checkpoint keeps, and the batch: a batch replayed after a
+    failure keeps its number, and a query with a new checkpoint writes after all that is stored.
+    """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        reindex(batch.sparkSession, batch, store, model_id, dim, embed, corpus_hash, version=batch_id + 1, **options)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        reindex(batch.sparkSession, batch, store, model_id, dim, embed, corpus_hash, writer=f"{query}:{batch_id}", **options)
 
     writer = documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
