@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.lexical import CHUNK_KEYS, CHUNK_ORDER, SCORE_DIGITS
+from lexmill.session import ship_package, stage
 
 FILTER_FIELDS = ["exclude_repealed", "book", "chapter"]
 
@@ -17,31 +18,32 @@ def dense_topk(
     queries: DataFrame,
     limit: int = 20,
     limit_column: str | None = None,
-    max_query_bytes: int = 128 << 20,
+    max_query_bytes: int = 32 << 20,
+    max_cells: int = 4 << 20,
 ) -> DataFrame:
     """Exact top ``limit`` chunks per query by cosine.
 
     Each task multiplies its Arrow batches with the query matrix and keeps the best ``limit`` rows
     per query, so tasks emit at most queries x limit rows whatever the corpus size. The query
     matrix travels to the tasks and is bounded by ``max_query_bytes``; a larger batch is cut into
-    that many passes over the vectors. ``queries`` holds ``query_id``, ``embedding`` and optionally
-    a ``filters`` struct whose article numbers are not applied in this branch.
+    that many passes over the vectors, each stored before the next is collected, so the driver holds
+    one pass at a time. A task never holds more than ``max_cells`` scores. Rows and queries without a
+    vector take no part; no query gives no row. ``queries`` holds ``query_id``, ``embedding`` and
+    optionally a ``filters`` struct whose article numbers are not applied in this branch.
     """
     cols = ["query_id", "embedding"]
     if "filters" in queries.columns:
         flags = [F.col("filters")[f].alias(f) for f in FILTER_FIELDS]
     else:
         flags = [F.lit(False).alias("exclude_repealed")] + [F.lit(None).cast("string").alias(f) for f in FILTER_FIELDS[1:]]
-    side = queries.select(*cols, *flags)
+    side = queries.select(*cols, *flags).filter(_whole_vector())
     size = side.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    if not size.n:
-        passes = 1
-    else:
-        passes = max(1, math.ceil(size.n * (size.d or 1) * 8 / max_query_bytes))
+    passes = max(1, math.ceil((size.n or 0) * (size.d or 1) * 8 / max_query_bytes))
     found = None
     for turn in range(passes):
         part = side if passes == 1 else side.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == turn)
-        one = _search_pass(vectors, part, limit)
+        one = _search_pass(vectors.filter(_whole_vector()), part, limit, max_cells)
+        one = one if passes == 1 else stage(one, "dense-pass")
         found = one if found is None else found.unionByName(one)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *CHUNK_ORDER)
     top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
@@ -50,57 +52,93 @@ def dense_topk(
     return top.select("query_id", "rank", *CHUNK_ORDER, "score")
 
 
-def _search_pass(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def _whole_vector():
+    """Rows whose vector is there and has no null in it."""
+    return (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
+
+
+class _Best:
+    """Best rows so far of a tile of queries, as flat arrays cut back when they have doubled."""
+
+    def __init__(self, queries: int, limit: int):
+        self.limit, self.floor = limit, np.full(queries, -np.inf)
+        self.parts: list[tuple] = []
+        self.size, self.room = 0, max(100_000, 4 * queries * limit)
+
+    def add(self, query, score, article, paragraph, chunk) -> None:
+        self.parts.append((query, score, article, paragraph, chunk))
+        self.size += len(query)
+        if self.size > self.room:
+            self.cut()
+
+    def cut(self) -> tuple:
+        if not self.parts:
+            return ()
+        query, score, article, paragraph, chunk = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((chunk, paragraph, article, -score, query))
+        query = query[order]
+        first = np.searchsorted(query, query, "left")
+        keep = np.arange(len(query)) - first < self.limit
+        order = order[keep]
+        kept = tuple(x[order] for x in (np.concatenate(c) for c in zip(*self.parts)))
+        self.parts, self.size = [kept], len(order)
+        ends = np.flatnonzero(np.diff(np.append(kept[0], -1)) != 0)
+        full = ends[np.bincount(kept[0], minlength=len(self.floor))[kept[0][ends]] >= self.limit]
+        self.floor[kept[0][full]] = kept[1][full]
+        return kept
+
+
+def _search_pass(vectors: DataFrame, queries: DataFrame, limit: int, max_cells: int) -> DataFrame:
     spark = vectors.sparkSession
+    ship_package(spark)
     id_type = queries.schema["query_id"].dataType.simpleString()
-    rows = queries.collect()
-    matrix = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    shared = spark.sparkContext.broadcast(
-        (
-            [r.query_id for r in rows],
-            _unit_rows(matrix),
-            np.array([bool(r.exclude_repealed) for r in rows], dtype=bool),
-            [r.book for r in rows],
-            [r.chapter for r in rows],
-        )
-    )
     schema = f"query_id {id_type}, article_number int, paragraph_number int, chunk_id string, score double"
+    rows = queries.collect()  # one pass: max_query_bytes
+    if not rows:
+        return spark.createDataFrame([], schema)
+    groups: dict[tuple, list[int]] = {}
+    for j, r in enumerate(rows):
+        groups.setdefault((bool(r.exclude_repealed), r.book, r.chapter), []).append(j)
+    matrix = _unit_rows(np.array([r.embedding for r in rows], dtype=np.float64))
+    shared = spark.sparkContext.broadcast(([r.query_id for r in rows], matrix, {k: np.array(v) for k, v in groups.items()}))
 
     def local_best(batches):
-        ids, q, no_repealed, books, chapters = shared.value
-        best = [[] for _ in ids]
+        ids, q, groups = shared.value
+        best = _Best(len(ids), limit)
         for batch in batches:
-            if batch.num_rows == 0 or not ids:
+            if batch.num_rows == 0:
                 continue
             table = {c: batch.column(c) for c in batch.schema.names}
             x = _unit_rows(_matrix(table["embedding"]))
-            scores = np.round(x @ q.T, SCORE_DIGITS)
             flags = {c: np.array(table[c].to_pylist(), dtype=object) for c in ("is_repealed", "book", "chapter")}
-            order = [_filled(table[c]) for c in ("article_number", "paragraph_number")]
-            chunk = np.array(table["chunk_id"].to_pylist(), dtype=str)
-            for j in range(len(ids)):
-                keep = flags["is_repealed"] != True if no_repealed[j] else np.ones(len(x), dtype=bool)  # noqa: E712
-                if books[j] is not None:
-                    keep &= flags["book"] == books[j]
-                if chapters[j] is not None:
-                    keep &= flags["chapter"] == chapters[j]
+            article, paragraph = (_filled(table[c]) for c in ("article_number", "paragraph_number"))
+            chunk = np.array(table["chunk_id"].to_pylist(), dtype=object)
+            for (no_repealed, book, chapter), members in groups.items():
+                keep = flags["is_repealed"] != True if no_repealed else np.ones(len(x), dtype=bool)  # noqa: E712
+                if book is not None:
+                    keep &= flags["book"] == book
+                if chapter is not None:
+                    keep &= flags["chapter"] == chapter
                 at = np.flatnonzero(keep)
-                if len(at) > limit:
-                    edge = np.partition(scores[at, j], len(at) - limit)[len(at) - limit]
-                    at = at[scores[at, j] >= edge]
-                at = at[np.lexsort((chunk[at], order[1][at], order[0][at], -scores[at, j]))][:limit]
-                rows_j = [(-scores[i, j], int(order[0][i]), int(order[1][i]), str(chunk[i])) for i in at]
-                best[j] = sorted(best[j] + rows_j)[:limit]
-        out = [
-            (ids[j], _unfilled(r[1]), _unfilled(r[2]), r[3], -float(r[0]))
-            for j in range(len(ids))
-            for r in best[j]
-        ]
-        cols = list(zip(*out)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), type=t) for c, t in zip(cols, _arrow_types(id_type))],
-            names=["query_id", "article_number", "paragraph_number", "chunk_id", "score"],
-        )
+                width = min(len(members), 4096)
+                height = max(1, max_cells // width)
+                for m in range(0, len(members), width):
+                    tile = members[m : m + width]
+                    for lo in range(0, len(at), height):
+                        block = at[lo : lo + height]
+                        scores = np.round(x[block] @ q[tile].T, SCORE_DIGITS)
+                        floor = best.floor[tile]
+                        if len(block) > limit:
+                            floor = np.maximum(floor, np.partition(scores, len(block) - limit, axis=0)[len(block) - limit])
+                        i, j = np.nonzero(scores >= floor)
+                        best.add(tile[j], scores[i, j], article[block][i], paragraph[block][i], chunk[block][i])
+        kept = best.cut()
+        if kept:
+            out = [(ids[j], _unfilled(int(a)), _unfilled(int(p)), c, float(s)) for j, s, a, p, c in zip(*kept)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), type=t) for c, t in zip(zip(*out), _arrow_types(id_type))],
+                names=["query_id", "article_number", "paragraph_number", "chunk_id", "score"],
+            )
 
     flat = vectors.select(*[c for c in CHUNK_KEYS if c in vectors.columns], *_absent(vectors), "embedding")
     return flat.mapInArrow(local_best, schema)

@@ -133,7 +133,8 @@ class LexicalIndex:
         if limit_column:
             top = top.filter(F.col("rank") <= F.col(limit_column))
         best = F.max("raw").over(Window.partitionBy("query_id"))
-        return top.withColumn("score", F.col("raw") / best).select(
+        score = F.coalesce(F.col("raw") / F.nullif(best, F.lit(0.0)), F.lit(0.0))  # a best that rounds to 0 divides nothing
+        return top.withColumn("score", score).select(
             "query_id", "rank", *CHUNK_ORDER, "raw", "score"
         )
 
