@@ -21,6 +21,21 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def labelled_sample(docs: DataFrame, known: DataFrame, per_label: int, longest: int) -> DataFrame:
+    """``doc_id, label, text`` of a bounded sample: of each label of ``known`` the ``per_label`` rows of smallest hash.
+
+    Only their ids travel, two labels of ``per_label`` each; of texts over ``longest`` characters none is used, and of
+    rows that share a doc_id the first text in order.
+    """
+    ids = None
+    for label in (0, 1):
+        top = known.filter(F.col("label") == label).distinct().orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").limit(per_label)
+        ids = top if ids is None else ids.union(top)
+    return texts(docs).join(F.broadcast(ids), "doc_id").filter(F.length("text") <= longest).groupBy("doc_id", "label").agg(
+        F.min("text").alias("text")
+    )
+
+
 def scratch(df: DataFrame, label: str) -> DataFrame:
     """A written table under spark.checkpoint.dir: read again after a lost executor, not computed again."""
     return stage(df, label)

@@ -15,6 +15,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     cur = links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
     cur = scratch(cur.filter("a > b").distinct(), "links")
+    if cur.isEmpty():
+        return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
     seen = None
     for _ in range(most_rounds):
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))

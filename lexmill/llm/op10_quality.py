@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import keep_rows, per_batch, texts
+from lexmill.llm.common import keep_rows, labelled_sample, per_batch, texts
 
 JUDGED = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -194,14 +194,10 @@ def fit_field(docs: DataFrame, labels: DataFrame, per_label: int = 1_500, longes
 
     None where one of the labels has no row with a word.
     """
-    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
-    rows = texts(docs).filter(F.length("text") <= longest).join(known, "doc_id")
-    sample = None
-    for label in (0, 1):
-        top = rows.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id", "text").limit(per_label)
-        sample = top if sample is None else sample.union(top)
-    got = sorted(sample.select("doc_id", "quality", "text").collect())
-    pairs = [(line_features(facts_of(r.text)), BOILERPLATE if r.quality == 0 else CONTENT) for r in got]
+    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label"))
+    known = known.filter("doc_id IS NOT NULL AND label IN (0, 1)")
+    got = sorted(labelled_sample(docs, known, per_label, longest).collect())
+    pairs = [(line_features(facts_of(r.text)), BOILERPLATE if r.label == 0 else CONTENT) for r in got]
     pairs = [(x, y) for x, y in pairs if x]
     if len({y for _, y in pairs}) < 2:
         return None

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import per_batch, texts
+from lexmill.llm.common import labelled_sample, per_batch, texts
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 ORDER = 4  # characters of a subsequence
@@ -269,18 +269,14 @@ def _highest(ws: list[str], model: Model) -> str:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1_500, longest: int = 20_000) -> Model:
     """Learn from labelled rows outside the held-out third: of each label the ``per_label`` of smallest hash.
 
-    The bounds of the fit are ``per_label`` rows a label and ``longest`` characters a row (longer ones are not
-    drawn), so at most ``2 * per_label`` texts reach the driver.
+    The bounds of the fit are ``per_label`` rows a label and ``longest`` characters a row (of longer ones none is
+    used), so at most ``2 * per_label`` texts reach the driver.
     """
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("toxic IS NOT NULL")
-    known = known.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    rows = texts(docs).filter(F.length("text") <= longest).join(known, "doc_id")
-    sample = None
-    for label in (0, 1):
-        top = rows.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id", "text").limit(per_label)
-        sample = top if sample is None else sample.union(top)
-    got = sorted(sample.select("doc_id", "toxic", "text").collect())
-    return train([r.text for r in got], np.array([r.toxic for r in got]))
+    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).filter("label IN (0, 1)")
+    known = known.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    sample = labelled_sample(docs, known, per_label, longest)
+    got = sorted(sample.collect())
+    return train([r.text for r in got], np.array([r.label for r in got]))
 
 
 def held_out(doc_id):

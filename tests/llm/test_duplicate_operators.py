@@ -158,7 +158,7 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_line_dedup_of_very_long_lines_and_copies(spark):
-    line = " ".join(f"w{i}" for i in range(70_000))
+    line = " ".join(f"w{i}" for i in range(20_000))
     docs = table(spark, [(1, line), (2, line + " x"), (3, line), (3, line), (4, None)])
     assert {r.doc_id: r.n_removed for r in o7.dedup_lines(docs, similarity=0.9).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
     assert o7.dedup_lines(table(spark, [])).collect() == [] and o7.drop_repeated_lines(table(spark, [])).collect() == []
