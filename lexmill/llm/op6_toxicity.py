@@ -207,6 +207,7 @@ def train(rows: list[str], toxic: np.ndarray, landmarks: int = 300, rounds: int
 
     Landmarks are the words that part the labels best and frequent words of clean texts. Then, ``rounds``
     times: the highest unit of each toxic text against words of clean texts, among them the highest so far.
+    Without words of either label the model scores every text alike, below any threshold of use.
     """
     words = [sorted(set(re.findall(r"[^\W_]{2,}", t.lower()))) for t in rows]
     bad = Counter(w for ws, y in zip(words, toxic) if y for w in ws)
@@ -225,6 +226,8 @@ def train(rows: list[str], toxic: np.ndarray, landmarks: int = 300, rounds: int
     usual = sorted((w for w in good if w not in best), key=lambda w: (-good[w], w))
     rest = landmarks - len(best)
     marks = best + usual[: rest // 2] + usual[rest // 2 :: max(1, len(usual) // max(1, rest - rest // 2))][: rest - rest // 2]
+    if not marks or not bad or not good:  # nothing to part: every text gets the same low score
+        return Model(np.zeros(BINS, np.float32), 0.0, -3.0)
     lr, lb, lv = sparse_rows(marks)
     square = kernel(marks, (lr, lb, lv), len(marks)).astype(np.float64)
     eigen, vectors = np.linalg.eigh((square + square.T) / 2)
