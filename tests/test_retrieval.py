@@ -139,3 +139,21 @@ def test_rerank_with_pandas_udf(spark, index, chunks):
 def test_plan_limits_before_shuffle(spark, index):
     plan = index.search(ask(spark, "العقد"), limit=5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2 and "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
+
+
+def test_dense_survives_any_batch(spark):
+    rows = [("a", 1, [1.0, 0.0]), ("b", 2, [0.0, 1.0]), ("c", 3, None), ("d", 4, [1.0, None]), ("e", 5, [])]
+    vecs = spark.createDataFrame(rows, "chunk_id string, article_number int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, None), (3, [0.2, 1.0])], "query_id int, embedding array<double>")
+    assert D.dense_topk(vecs, asked.filter("query_id > 9"), 5).collect() == []
+    for size, cells in ((1 << 20, 1 << 20), (16, 1)):  # as many passes as leave some without a question; tiles of one score
+        got = D.dense_topk(vecs, asked, 5, max_query_bytes=size, max_cells=cells).collect()
+        assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got) == [(1, 1, "a"), (1, 2, "b"), (3, 1, "b"), (3, 2, "a")]
+
+
+def test_two_corpora_stay_apart(spark, articles):
+    both = articles.withColumn("corpus_id", F.lit("x")).unionByName(articles.withColumn("corpus_id", F.lit("y")))
+    chunks = C.embed_by_hash(C.chunk_articles(both, "article"), 8)
+    assert chunks.select("chunk_id").distinct().count() == chunks.select("point_id").distinct().count() == 2 * articles.count()
+    hits = LexicalIndex.build(chunks).search(ask(spark, "العقد"), limit=10).collect()
+    assert {h.chunk_id.split(":")[0] for h in hits} == {"x", "y"} and len({h.chunk_id for h in hits}) == len(hits)

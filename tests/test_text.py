@@ -182,3 +182,27 @@ def test_fixed_decimals_round_like_python(spark):
     dyadic = [0.90625, 0.78125, 2.5, 0.5, 0.1234567]
     rows = spark.createDataFrame([(v,) for v in dyadic], "v double").select("v", T.fixed_decimals(F.col("v"), 4).alias("t")).collect()
     assert [r.t for r in rows] == [f"{r.v:.4f}" for r in rows]
+
+
+@pytest.mark.parametrize(
+    "raw,faithfulness,relevancy",
+    [
+        ('{"faithfulness": 0.5, "answer_relevancy": 0.5} Done', None, None),
+        ('{"faithfulness": true, "answer_relevancy": false}', 1.0, 0.0),
+        ('{"faithfulness": "0.5", "answer_relevancy": 7}', 0.5, 1.0),
+        ('{"faithfulness": "true", "answer_relevancy": 0.5}', None, None),
+        ('{"faithfulness": null, "answer_relevancy": 0.5}', None, None),
+        ('{"faithfulness": 0.5} {"faithfulness": 0.5}', None, None),
+        ('{"faithfulness": 0.5}, {"faithfulness": 0.5}', None, None),
+        ('[{"faithfulness": 0.5}]', None, None),
+        ("{}", 0.0, 0.0),
+    ],
+)
+def test_judgement_edges(spark, raw, faithfulness, relevancy):
+    got = one(spark, raw, G.parse_judgement)
+    assert (got.faithfulness, got.answer_relevancy) == (faithfulness, relevancy)
+
+
+def test_long_citation_numbers(spark):
+    assert one(spark, "see [Article 99999999999] and [Article 5]", T.cited_numbers) == [5, 99_999_999_999]
+    assert one(spark, "[Article 99999999999999999999999]", T.cited_numbers) == [2**63 - 1]
