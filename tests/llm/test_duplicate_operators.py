@@ -157,6 +157,20 @@ def test_line_dedup_equals_brute_force(spark):
     assert kept[300].fp == "x" and kept[1].text is None
 
 
+def test_edit_similarity_of_pairs(spark):
+    rng = random.Random(11)
+    words = ["alpha", "be", "gamma", "delta", "e", "zeta"]
+    lines = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(60)})
+    docs = table(spark, [(1, "\n".join(lines))])
+    ids = [xxhash.xxh64_intdigest(x.encode()) >> 1 for x in lines]
+    places = spark.createDataFrame([(h, (1, k)) for k, h in enumerate(ids)], "h1 long, first struct<doc_id: long, pos: int>")
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a) if rng.random() < 0.5]
+    frame = spark.createDataFrame([(ids[a], ids[b]) for a, b in pairs], "a long, b long")
+    got = {(r.a, r.b) for r in o7.verified(frame, places, docs, 0.6).collect()}
+    near = [(a, b) for a, b in pairs if edit_distance(lines[a], lines[b]) <= 0.4 * max(len(lines[a]), len(lines[b])) + 1e-9]
+    assert got == {(ids[a], ids[b]) for a, b in near} and len(near) > 20
+
+
 def test_line_dedup_of_very_long_lines_and_copies(spark):
     line = " ".join(f"w{i}" for i in range(20_000))
     docs = table(spark, [(1, line), (2, line + " x"), (3, line), (3, line), (4, None)])
