@@ -63,6 +63,29 @@ def hash_embedding_query(spark, sf):
     )
 
 
+@query(
+    "model_embeddings",
+    """WITH p AS (SELECT doc_id, 'passage: ' || text AS t FROM documents)
+    SELECT doc_id, length(t) - length(replace(t, 'a', '')) AS n_a, length(t) - length(replace(t, 'e', '')) AS n_e,
+      length(t) - length(replace(t, 'é', '')) AS n_accent, length(t) % 97 AS size_mod FROM p""",
+)
+def model_embeddings(spark, sf):
+    """The model hook with a prefix and small batches; the model counts letters and is pickled with the query."""
+
+    def letter_counts():
+        import numpy as np
+
+        def predict(texts):
+            rows = [[t.count("a"), t.count("e"), t.count("é"), len(t) % 97] for t in texts]
+            return np.array(rows, dtype=np.float32).reshape(len(texts), 4)
+
+        return predict
+
+    rows = C.embed_with_model(table(spark, sf, "documents").select("doc_id", "text"), letter_counts, prefix="passage: ", batch_size=32, text=F.col("text"))
+    names = ("n_a", "n_e", "n_accent", "size_mod")
+    return rows.select("doc_id", *[F.col("embedding")[i].cast("bigint").alias(n) for i, n in enumerate(names)])
+
+
 @query("point_ids", "SELECT doc_id, CAST('0x' || substr(sha256('art_' || doc_id), 1, 15) AS BIGINT) AS point_id FROM documents")
 def point_ids(spark, sf):
     return table(spark, sf, "documents").select(

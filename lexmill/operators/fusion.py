@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill import constants as K
 from lexmill.functions import text as X
 from lexmill.operators.lexical import CHUNK_ORDER, SCORE_DIGITS
+from lexmill.session import broadcast_if_small
 
 
 def branch_depth(top_k: int | Column) -> int | Column:
@@ -15,14 +16,19 @@ def branch_depth(top_k: int | Column) -> int | Column:
     return max(3 * top_k, 20) if isinstance(top_k, int) else F.greatest(top_k * 3, F.lit(20))
 
 
-def exact_lookup(queries: DataFrame, chunks: DataFrame, limit: int | None = None) -> DataFrame:
+def exact_lookup(queries: DataFrame, chunks: DataFrame, limit: int | None = None, most_pushed: int = 1_000) -> DataFrame:
     """Chunks of articles a question names, score 1, in article and paragraph order.
 
     ``limit`` keeps the first rows per query on the map side; it is exact when nothing reorders
-    the candidates later.
+    the candidates later. Up to ``most_pushed`` different numbers become a filter of the chunk scan, and the
+    questions are broadcast after a check of their number.
     """
     named = queries.select("query_id", F.explode("article_numbers").alias("article_number"))
-    hits = named.join(chunks.select(*CHUNK_ORDER), "article_number")
+    found = chunks.select(*CHUNK_ORDER)
+    numbers = named.select("article_number").distinct().limit(most_pushed + 1).collect()  # bounded by most_pushed
+    if len(numbers) <= most_pushed:
+        found = found.filter(F.col("article_number").isin([r.article_number for r in numbers]))
+    hits = broadcast_if_small(named).join(found, "article_number")
     order = Window.partitionBy("query_id").orderBy(*CHUNK_ORDER)
     ranked = hits.withColumn("rank", F.row_number().over(order))
     if limit is not None:

@@ -41,14 +41,14 @@ def _chunk_keys(chunks: DataFrame) -> list[Column]:
 
 
 class LexicalIndex:
-    """Three stored tables: postings, term statistics and one row of corpus totals.
+    """Four stored tables: postings, term statistics, one row of corpus totals, and the chunks' keys.
 
     A search reads the totals, the small term table and the postings columns it needs; nothing is
-    counted again.
+    counted again. The chunk table is sorted by article, so a lookup of some numbers skips row groups.
     """
 
-    def __init__(self, postings: DataFrame, term_table: DataFrame, totals: DataFrame):
-        self.postings, self.term_table, self.totals = postings, term_table, totals
+    def __init__(self, postings: DataFrame, term_table: DataFrame, totals: DataFrame, chunk_table: DataFrame):
+        self.postings, self.term_table, self.totals, self.chunk_table = postings, term_table, totals, chunk_table
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str | None = None, **options) -> "LexicalIndex":
@@ -68,18 +68,19 @@ class LexicalIndex:
         mean = terms.agg(F.avg("raw_idf").alias("m")).scalar()
         avgdl = F.col("n_tokens") / F.nullif("n_chunks", F.lit(0))
         totals = keep(counted.withColumns({"avgdl": avgdl, "mean_idf": mean}), "totals")
-        return cls(rows, terms, totals)
+        chunk_rows = rows.filter("head = 1").select(*CHUNK_KEYS, "dl")
+        return cls(rows, terms, totals, keep(chunk_rows.sortWithinPartitions("article_number"), "chunks"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "LexicalIndex":
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")])
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals", "chunks")])
 
     def corpus(self) -> DataFrame:
         """One row: chunk count, token count and mean length."""
         return self.totals.select("n_chunks", "n_tokens", "avgdl")
 
     def documents(self) -> DataFrame:
-        return self.postings.filter("head = 1").select(*CHUNK_KEYS, "dl")
+        return self.chunk_table
 
     def terms(self, epsilon: float = K.BM25_EPSILON) -> DataFrame:
         """Document frequency and idf per term; negative idf becomes epsilon times the mean idf."""

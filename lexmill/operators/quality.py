@@ -54,6 +54,7 @@ def row_violations(
 ) -> DataFrame:
     """One row per broken rule and article."""
     n, known = F.col(KEY), in_ranges(F.col(KEY), repealed)
+    # The wording of the messages below, which must equal that of the checks followed.
 
     def say(*parts) -> Column:
         return F.concat(F.lit("Article "), n, F.lit(": "), *parts)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
+_staged: dict[str, list[str]] = {}
 
 
 def local_session(cores: str = "8", app: str = "lexmill", shuffle_partitions: int = 8) -> SparkSession:
@@ -77,6 +78,7 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     """
     spark = df.sparkSession
     path = os.path.join(staging_root(spark), f"{label}-{uuid.uuid4().hex}")
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -84,6 +86,18 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete every table this application has staged; call it when the results that read them are written.
+
+    A private local folder also goes when the driver ends.
+    """
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than one row past the bound."""
     return df.limit(max_rows + 1).count() <= max_rows
