@@ -15,9 +15,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Fewer rows an Arrow batch than Spark's default of 10,000, as rows are whole documents here.
+
+    A value other than the default is somebody's choice and stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, a null text as the empty one: other columns cannot clash."""
     ship_package(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -81,6 +92,7 @@ def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFr
     Map-side only. Columns travel by place under plain names, so their own names may repeat or clash.
     """
     ship_package(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
