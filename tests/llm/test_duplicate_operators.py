@@ -112,8 +112,8 @@ def plain_line_dedup(rows, similarity=0.8):
     """All pairs of distinct lines, on documents with different ids."""
 
     def bits(norm):
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in norm.split(" ")]
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(norm.split(" "))]  # distinct words, 60 bits
+        return sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
     places = [(i, k, plain_norm(x)) for i, t in rows if i is not None for k, x in enumerate((t or "").split("\n")) if plain_norm(x)]
     norms = sorted({n for *_, n in places})
