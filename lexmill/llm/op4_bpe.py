@@ -118,33 +118,49 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int], pair_ranks: list[int]) ->
     return ids
 
 
+_codecs: dict[tuple[str, str], "Codec"] = {}
+
+
 class Codec:
-    """Encoder and decoder of one worker. Short pre-tokens are remembered up to ``remember`` of them."""
+    """Encoder and decoder of one worker, kept from task to task.
 
-    def __init__(self, path: str, pattern: str, remember: int = 300_000, longest_remembered: int = 64):
+    Short pre-tokens are remembered in two generations of ``remember`` each: when the younger is full it becomes
+    the older, and what is met again moves up, so frequent ones stay and memory is bounded.
+    """
+
+    def __init__(self, path: str, pattern: str, remember: int = 200_000, longest_remembered: int = 64):
         import regex
 
         self.ranks = read_ranks(path)
         self.pair_ranks = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.remember, self.longest = remember, longest_remembered
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.names = {rank: str(rank) for rank in self.tokens}
+
+    @classmethod
+    def shared(cls, path: str, pattern: str) -> "Codec":
+        """The worker's codec of this vocabulary and pattern."""
+        if (path, pattern) not in _codecs:
+            _codecs[path, pattern] = cls(path, pattern)
+        return _codecs[path, pattern]
 
     def encode(self, text: str) -> list[int]:
+        if len(self.known) > self.remember:
+            self.older, self.known = self.known, {}
         pieces = self.split(text)
-        known = self.known
-        for piece in [p for p in set(pieces) if p not in known]:
-            if len(known) >= self.remember:
-                known.clear()
-                for other in set(pieces):
-                    known[other] = tuple(merge_piece(other.encode(), self.ranks, self.pair_ranks))
-                break
-            known[piece] = tuple(merge_piece(piece.encode(), self.ranks, self.pair_ranks))
+        known, older, long = self.known, self.older, []
+        for piece in set(pieces):
+            if piece not in known:
+                ids = older.get(piece)
+                known[piece] = tuple(merge_piece(piece.encode(), self.ranks, self.pair_ranks)) if ids is None else ids
+                if len(piece) > self.longest:
+                    long.append(piece)
         ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
-        if len(text) > self.longest:
-            for piece in [p for p in set(pieces) if len(p) > self.longest]:
-                del known[piece]
+        for piece in long:
+            del known[piece]
         return ids
 
     def decode(self, ids) -> bytes:
@@ -152,10 +168,10 @@ class Codec:
 
 
 def _mapped(docs: DataFrame, path: str, pattern: str, schema: T.StructType, columns) -> DataFrame:
-    """``columns(codec, texts)`` gives the arrays after doc_id. The codec is loaded once per Python task."""
+    """``columns(codec, texts)`` gives the arrays after doc_id."""
 
     def run(batches):
-        codec = Codec(path, pattern)
+        codec = Codec.shared(path, pattern)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -190,8 +206,6 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """As ``bpe_encode`` with SHA-256 digests of the comma-joined ids and of the decoded bytes in their place."""
 
     def columns(codec: Codec, rows: list[str]):
-        if not hasattr(codec, "names"):
-            codec.names = {rank: str(rank) for rank in codec.tokens}
         counts, ids_sha, text_sha = [], [], []
         for text in rows:
             ids = codec.encode(text)
