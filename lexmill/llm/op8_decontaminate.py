@@ -54,12 +54,35 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[Block]:
     return out
 
 
-def best_run(same: np.ndarray, mismatch: int = 3) -> tuple[int, int]:
-    """The run of a diagonal that scores most: +1 for an equal token, ``-mismatch`` for another."""
-    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -mismatch))])
-    lowest = np.minimum.accumulate(sums)
-    to = int((sums - lowest).argmax())
-    return int(sums[: to + 1].argmin()), to
+def best_run(same: np.ndarray, share: float = 0.8) -> tuple[int, int]:
+    """Of the runs of a diagonal in which at least ``share`` of the tokens are equal, the one with most equal tokens.
+
+    Of equal ones the shortest, then the first. Without an equal token ``(0, 0)``.
+    """
+    equal = np.concatenate([[0], np.cumsum(same)])
+    sums = equal - share * np.arange(len(equal))
+    starts, stops = np.flatnonzero(same), np.flatnonzero(same) + 1  # a longest run of most equal tokens need not end beyond one
+    if not len(starts):
+        return 0, 0
+    # the farthest stop that a start reaches: greatest sum from there on, found by bisection as it falls with the place
+    tops = np.maximum.accumulate(sums[stops][::-1])[::-1]
+    reach = len(tops) - np.searchsorted(tops[::-1], sums[starts] - 1e-9, "left") - 1
+    gained = reach - np.arange(len(starts)) + 1
+    most = np.flatnonzero(gained == gained.max())
+    first = most[(stops[reach[most]] - starts[most]).argmin()]
+    return int(starts[first]), int(stops[reach[first]])
+
+
+def good_runs(same: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
+    """``best_run``, and again beside it: all runs apart from each other with ``least`` equal tokens."""
+    found, open_spans = [], [(0, len(same))]
+    while open_spans:
+        lo, hi = open_spans.pop()
+        first, to = best_run(same[lo:hi], share)
+        if int(same[lo + first : lo + to].sum()) >= max(least, 1):
+            found.append((lo + first, lo + to))
+            open_spans += [(lo, lo + first), (lo + to, hi)]
+    return sorted(found)
 
 
 def seed_hits(w: Words, block: Block) -> np.ndarray:
@@ -89,9 +112,10 @@ def scan(column: pa.Array, block: Block, least: int, share: float) -> list[tuple
         base = int(w.bounds[d])
         lo, hi = max(begin, base - diagonal), min(end, int(w.bounds[d + 1]) - diagonal)
         same = w.hash[lo + diagonal : hi + diagonal] == block.tokens[lo:hi]
-        first, to = best_run(same)
-        equal = int(same[first:to].sum())
-        if equal >= min(least, end - begin) and equal >= share * (to - first):
+        # an item shorter than ``least`` needs the same share of all its tokens
+        enough = least if end - begin >= least else int(np.ceil(share * (end - begin) - 1e-9))
+        for first, to in good_runs(same, enough, share):
+            equal = int(same[first:to].sum())
             at, start = lo + first - begin, lo + first + diagonal - base
             accepted.append((d, item, at, at + to - first, start, start + to - first, equal, end - begin))
     kept: dict[tuple[int, int], list[tuple]] = {}
@@ -107,8 +131,8 @@ def contamination(
 ) -> DataFrame:
     """Overlaps of benchmark items with documents, one row each, in token places of the item and the document.
 
-    Tokens are lower-case runs of letters and digits. A hit of any mask names a diagonal; its best run is an
-    overlap if ``least`` tokens agree (all of a shorter item) and at least ``share`` of the run. Overlaps of
+    Tokens are lower-case runs of letters and digits. A hit of any mask names a diagonal; a run of it is an
+    overlap if ``least`` tokens agree (of a shorter item ``share`` of its tokens) and at least ``share`` of the run. Overlaps of
     one item and document that cover common tokens are reported once, by the best. Items under nine tokens
     carry no seed and are not searched: so short a text is no evidence. Documents only pass by blocks of the
     benchmark, each bounded by ``block_bytes``; nothing of the documents is shuffled. Null or empty texts

@@ -118,6 +118,40 @@ def test_overlaps_tolerate_substitutions(spark):
     assert o8.contamination(table(spark, rows), empty).collect() == [] and o8.contamination(table(spark, []), bench_df).collect() == []
 
 
+def longest_agreement(same, share):
+    return max((sum(same[i:j]) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if sum(same[i:j]) >= share * (j - i)), default=0)
+
+
+def test_runs_equal_all_spans():
+    rng = np.random.default_rng(12)
+    split = [True] * 12 + [False] * 4 + [True] * 12
+    assert longest_agreement(split, 0.8) == 24 and o8.good_runs(np.array(split), 13, 0.8) == [(0, 28)]
+    for _ in range(400):
+        same = rng.random(int(rng.integers(0, 32))) < rng.choice([0.5, 0.7, 0.8, 0.9])
+        a, b = o8.best_run(same, 0.8)
+        assert int(same[a:b].sum()) == longest_agreement(same.tolist(), 0.8) and same[a:b].sum() >= 0.8 * (b - a)
+        apart = o8.good_runs(same, 5, 0.8)
+        assert bool(apart) == (longest_agreement(same.tolist(), 0.8) >= 5)
+        assert all(x[1] <= y[0] for x, y in zip(apart, apart[1:]))
+
+
+def test_exchanged_passages_with_enough_agreement_are_found():
+    rng = random.Random(31)
+    items = [[f"q{k}x{i}" for i in range(16 + 4 * (k % 4))] for k in range(120)]
+    items += [[f"s{k}x{i}" for i in range(10)] for k in range(30)]
+    block = o8.Block.of(list(range(len(items))), pa.array([" ".join(x) for x in items]))
+    docs, want, seeded = [], set(), set()
+    for k, item in enumerate(items):
+        same = [rng.random() > 0.15 for _ in item]
+        docs.append(" ".join(w if s else f"z{k}" for w, s in zip(item, same)))
+        if longest_agreement(same, 0.8) >= (13 if len(item) >= 13 else 8):
+            want.add((k, k))
+        if any(all(s or m == "0" for s, m in zip(same[i : i + 9], mask)) for mask in o8.MASKS for i in range(len(item) - 8)):
+            seeded.add((k, k))
+    got = {x[:2] for x in o8.scan(pa.array(docs), block, 13, 0.8)}
+    assert got == want & seeded and len({x for x in want & seeded if x[0] < 120}) >= 0.98 * len({x for x in want if x[0] < 120})
+
+
 def test_scan_equals_brute_force(spark):
     docs = small(spark, 200).collect()
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
