@@ -62,17 +62,23 @@ class Index:
             self.postings.setdefault(h, []).append((d, i - int(w.bounds[d])))
 
 
-def align(template: np.ndarray, tokens: np.ndarray, offset: int, band: int) -> tuple[int, int, int]:
+def align(
+    template: np.ndarray, tokens: np.ndarray, offset: int, band: int, taken: list[tuple[int, int]] | None = None
+) -> tuple[int, int, int]:
     """Local alignment within ``band`` of the diagonal ``offset``: ``(matched, from, to)`` in ``tokens``.
 
-    Equal tokens score 2; an exchanged, missing or added token costs 1.
+    Equal tokens score 2; an exchanged, missing or added token costs 1. No alignment enters the spans ``taken``.
     """
     best = (0, 0, 0, 0)
     row: dict[int, tuple[int, int, int]] = {}
     pattern, target = template.tolist(), tokens.tolist()
+    for lo, hi in taken or []:
+        target[lo:hi] = [None] * (hi - lo)
     for i, token in enumerate(pattern):
         new: dict[int, tuple[int, int, int]] = {}
         for j in range(max(0, i + offset - band), min(len(target), i + offset + band + 1)):
+            if target[j] is None:
+                continue
             score, matched, start = row.get(j - 1, (0, 0, j))
             if target[j] == token:
                 cell = (score + 2, matched + 1, start if score else j)
@@ -100,16 +106,18 @@ def scan(column: pa.Array, index: Index, least: float, band: int) -> list[tuple]
     found = []
     for (d, template), diagonals in lines.items():
         lo, hi = int(w.bounds[d]), int(w.bounds[d + 1])
-        tokens, done = index.tokens[template], []
+        tokens, spans = index.tokens[template], set()
         for diagonal in sorted(diagonals):
-            if done and diagonal - done[-1] <= band:
-                continue  # the band of the one before has it
-            done.append(diagonal)
             first = max(lo, diagonal - band)
             part = w.hash[first : min(hi, diagonal + len(tokens) + band)]
-            matched, a, b = align(tokens, part, diagonal - first, band)
-            if matched >= least * len(tokens):
-                found.append((d, template, matched, first + a, first + b))
+            taken: list[tuple[int, int]] = []
+            while True:  # a band can hold several copies: each is masked for the next
+                matched, a, b = align(tokens, part, diagonal - first, band, taken)
+                if matched < least * len(tokens):
+                    break
+                taken.append((a, b))
+                spans.add((d, template, matched, first + a, first + b))
+        found += sorted(spans)
     return _undisputed(found, index, w)
 
 

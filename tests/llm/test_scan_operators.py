@@ -83,6 +83,23 @@ def test_license_matches(spark):
     assert o2.license_matches(table(spark, [])).collect() == []
 
 
+def test_license_notices_repeated_at_once(spark):
+    notices = {n: t for n, t in o2.TEMPLATES.items() if n.endswith("notice")}
+    rows = [(i * 10 + k, sep.join([t] * k)) for i, t in enumerate(notices.values()) for k in (1, 2, 5) for sep in (" ", "\n")]
+    out = o2.license_matches(table(spark, rows)).collect()
+    spans = {}
+    for r in out:
+        spans.setdefault((r.doc_id, r.license), []).append((r.start, r.end))
+    assert len(out) == 2 * 8 * len(notices) and len(spans) == 3 * len(notices)
+    for (doc_id, name), found in spans.items():
+        text = notices[name]
+        assert len(found) == 2 * (doc_id % 10) and all(e - s == len(text.rstrip(".")) for s, e in found)
+        assert {s for s, _ in found} == {k * (len(text) + 1) for k in range(doc_id % 10)}
+    far = [f"w{i}" for i in range(30)]
+    drifted = "only released under the " + " ".join(far[:3]) + " released under the MIT License " + " ".join(far[3:])
+    assert [r.n_matched for r in o2.license_matches(table(spark, [(1, drifted)])).collect()] == [5]
+
+
 def test_license_scan_equals_plain_search(spark):
     docs = small(spark, 200).collect()
     got = {(r.doc_id, r.license) for r in o2.license_matches(small(spark, 200)).collect()}
