@@ -45,7 +45,7 @@ def op6_toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = op7_lines.dedup_lines(documents(spark, sf_dir))
+    kept = op7_lines.dedup_lines(documents(spark, sf_dir), **op7_lines.WHOLE)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -157,6 +157,28 @@ def test_line_dedup_equals_brute_force(spark):
     assert kept[300].fp == "x" and kept[1].text is None
 
 
+def test_line_dedup_finds_what_plain_edit_similarity_finds(spark):
+    rng = random.Random(23)
+    words = [f"{rng.choice('bcdfgklm')}{rng.choice('aeiou')}{rng.randint(10, 999)}" for _ in range(400)]
+    rows, n = [], 0
+    for size in (3, 4, 6, 10, 15, 20, 30, 40):  # copies with a tenth of the words exchanged, at least one
+        for _ in range(25):
+            line = [rng.choice(words) for _ in range(size)]
+            near = list(line)
+            for k in rng.sample(range(size), max(1, size // 10)):
+                near[k] = near[k][:-1] + "x" if size < 6 else rng.choice(words)
+            rows += [(n, " ".join(line)), (n + 1, " ".join(near))]
+            n += 2
+    norms = sorted({x for _, x in rows})
+    near = [
+        (a, b) for k, a in enumerate(norms) for b in norms[:k]
+        if abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+    ]
+    want = len(norms) - len(set(groups_of(near, norms).values()))
+    lost = sum(r.n_removed for r in o7.dedup_lines(table(spark, rows), **o7.WHOLE).collect()) - (len(rows) - len(norms))
+    assert want > 150 and 0.95 * want <= lost <= want, (want, lost)
+
+
 def test_edit_similarity_of_pairs(spark):
     rng = random.Random(11)
     words = ["alpha", "be", "gamma", "delta", "e", "zeta"]
