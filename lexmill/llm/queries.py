@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import op1_secrets, op2_licenses, op3_simhash, op4_bpe, op5_token_counts, op6_toxicity, op7_lines
-from lexmill.llm import op8_decontaminate, op9_substrings, op10_quality
+from lexmill.llm import op8_decontaminate, op9_substrings, op10_quality, op11_pii, op12_divergence, oracles
 from lexmill.llm.common import documents
 
-#: None of the operators can be written in SQL over whole tables; tests compare them with brute force.
-ORACLES: dict[str, str] = {}
+#: The other operators cannot be written in SQL over whole tables; tests compare them with brute force.
+ORACLES: dict[str, str] = {"op11_pii_scan": oracles.PII, "op12_source_divergence": oracles.DIVERGENCE}
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 
@@ -63,6 +63,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality.quality_verdicts(docs, field)
 
 
+def op11_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_pii.pii_digests(documents(spark, sf_dir))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_divergence.source_divergence(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,6 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_license_scan, op3_simhash_groups, op4_bpe_round_trip, op5_token_count, op6_toxicity_score,
-        op7_line_dedup, op8_contamination, op9_substring_dedup, op10_quality_rules, pipeline,
+        op7_line_dedup, op8_contamination, op9_substring_dedup, op10_quality_rules, op11_pii_scan, op12_source_divergence, pipeline,
     )
 }
