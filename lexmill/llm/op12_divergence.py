@@ -128,29 +128,36 @@ class OneHot:
 
 
 def one_hot(rows: pa.Table) -> OneHot:
+    """The matrix of counts ``rows``; those without a term only name a source."""
     source, term = (pc.dictionary_encode(rows.column(c).combine_chunks()) for c in ("source", "term"))
-    s, t = (np.asarray(x.indices) for x in (source, term))
+    names, real = source.dictionary.to_pylist(), pc.is_valid(term.indices).to_numpy(zero_copy_only=False)
+    s, t = np.asarray(source.indices), np.asarray(term.indices.filter(pa.array(real)))
     n, p, p0, tile = (rows.column(c).to_numpy() for c in ("n", "p", "p0", "tile"))
-    groups = len(source.dictionary)
-    levels, column = np.unique(np.stack([s, n]), axis=1, return_inverse=True)
-    column = column.ravel() + groups
-    at = np.repeat(np.arange(groups)[None], len(term.dictionary), 0)
-    at[t, s] = column
-    cost = np.zeros(groups + levels.shape[1], np.int64)
-    cost[s], cost[column] = p0, p
-    tiles = np.zeros(groups, np.int64)
-    tiles[s] = tile
-    count = np.concatenate([np.zeros(groups, np.int64), levels[1]])
-    return OneHot(at, np.concatenate([np.arange(groups), levels[0]]), count, cost, source.dictionary.to_pylist(), tiles)
-
-
-def _blocks(priced: DataFrame, terms: int, sources: int) -> DataFrame:
-    """Counts by block of terms and pair of source tiles: both sizes follow the language's own number of each."""
-    block = F.expr(f"pmod(xxhash64(term), ceil(terms / {terms}))").cast("int")
+    tiles, zero = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    tiles[s], zero[s] = tile, p0
+    levels, column = np.unique(np.stack([s[real], n[real]]), axis=1, return_inverse=True)
+    column = column.ravel() + len(names)
+    at = np.repeat(np.arange(len(names))[None], len(term.dictionary), 0)
+    at[t, s[real]] = column
+    cost = np.concatenate([zero, np.zeros(levels.shape[1], np.int64)])
+    cost[column] = p[real]
+    count = np.concatenate([np.zeros(len(names), np.int64), levels[1]])
+    return OneHot(at, np.concatenate([np.arange(len(names)), levels[0]]), count, cost, names, tiles)
+
+
+def _blocks(priced: DataFrame, groups: DataFrame, terms: int, sources: int) -> DataFrame:
+    """Counts by block of terms and pair of source tiles: both sizes follow the language's own number of each.
+
+    A row without a term names every source in every block, as the others' terms are its terms of count 0.
+    """
+    place = ["lang", "source", "term", "n", "p", "p0", "terms", "sources"]
+    rows = priced.select(*place, F.expr(f"pmod(xxhash64(term), ceil(terms / {terms}))").cast("int").alias("block"))
+    named = groups.filter("terms > 0").withColumns({"term": F.lit(None).cast("string"), "n": F.lit(0).cast("long"), "p": F.col("p0")})
+    named = named.select(*place, F.explode(F.expr(f"sequence(0, CAST(ceil(terms / {terms}) AS INT) - 1)")).alias("block"))
     tiles = F.expr(f"CAST(ceil(sources / {sources}) AS INT)")
     tile = F.expr(f"CAST(pmod(xxhash64(source, 1), ceil(sources / {sources})) AS INT)")
-    rows = priced.select("lang", "source", "term", "n", "p", "p0", block.alias("block"), tile.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("with"))
-    return rows.withColumns({"low": F.least("tile", "with"), "high": F.greatest("tile", "with")}).drop("with").groupBy("lang", "block", "low", "high")
+    rows = rows.union(named).withColumns({"tile": tile, "with": F.explode(F.sequence(F.lit(0), tiles - 1))})
+    return rows.withColumns({"low": F.least("tile", "with"), "high": F.greatest("tile", "with")}).drop("with", "terms", "sources").groupBy("lang", "block", "low", "high")
 
 
 def _priced_block(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -184,8 +191,8 @@ def joint_tables(docs: DataFrame, least_docs: int = LEAST_DOCS, terms: int = TER
     """``lang, source, other, level, other_level, n_terms``: for every two sources of a language how many kept terms have
     the one count in the first and the other count in the second, terms that both lack left out.
     """
-    priced, _ = kept_counts(docs, least_docs)
-    parts = _blocks(priced, terms, sources).applyInArrow(_joint_block, "lang string, source string, other string, level long, other_level long, n_terms long")
+    priced, groups = kept_counts(docs, least_docs)
+    parts = _blocks(priced, groups, terms, sources).applyInArrow(_joint_block, "lang string, source string, other string, level long, other_level long, n_terms long")
     # each pair once, the lesser name first
     turned = F.col("source") > F.col("other")
     sides = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("source", "other"), ("other", "source"), ("level", "other_level"), ("other_level", "level"))]
@@ -201,9 +208,11 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, best: int =
     value 0 and no terms; a source that is alone in its language has no pair. No rows: no rows.
     """
     priced, groups = kept_counts(docs, least_docs)
-    sums = _blocks(priced, terms, sources).applyInArrow(_priced_block, "lang string, source string, other string, value long, seen long")
-    sides = F.array(F.struct("source", "other"), F.struct(F.col("other").alias("source"), F.col("source").alias("other")))
+    sums = _blocks(priced, groups, terms, sources).applyInArrow(_priced_block, "lang string, source string, other string, value long, seen long")
+    # which of two sources comes first may differ between blocks
+    sums = sums.withColumns({"source": F.least("source", "other"), "other": F.greatest("source", "other")})
     sums = sums.groupBy("lang", "source", "other").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    sides = F.array(F.struct("source", "other"), F.struct(F.col("other").alias("source"), F.col("source").alias("other")))
     sums = sums.select("lang", F.explode(sides).alias("s"), "value", "seen").select("lang", "s.*", "value", "seen")
     a = groups.select("lang", "source", "terms", F.col("p0").alias("pa"))
     b = groups.select("lang", F.col("source").alias("other"), F.col("p0").alias("pb"))

@@ -82,3 +82,36 @@ parts AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM parts)
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {BEST}
 """
+
+INTERACTION = """
+WITH w AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END
+        + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id IS NOT NULL AND min(doc_id) OVER (PARTITION BY text) < doc_id THEN 16 ELSE 0 END AS mask
+    FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+x AS (SELECT unnest(string_split('ABCDE', '')) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+    WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+s AS (SELECT filter_order, CAST(k AS INT) AS step, 1 << (ascii(substr(filter_order, k, 1)) - 65) AS bit,
+    list_sum(list_transform(range(1, 6), lambda j: CASE WHEN j < k THEN 1 << (ascii(substr(filter_order, j, 1)) - 65) ELSE 0 END)) AS earlier
+    FROM o, range(1, 6) r(k)),
+t AS (
+    SELECT part, filter_order, step, any_value(bit) AS bit, sum(CASE WHEN mask & (bit | earlier::BIGINT) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & bit <> 0 AND mask & earlier::BIGINT = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & bit <> 0 AND mask & earlier::BIGINT <> 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & bit <> 0 AND mask & earlier::BIGINT = 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & bit <> 0 AND mask & earlier::BIGINT = 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM c, s GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM t
+"""

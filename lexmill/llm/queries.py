@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import op1_secrets, op2_licenses, op3_simhash, op4_bpe, op5_token_counts, op6_toxicity, op7_lines
-from lexmill.llm import op8_decontaminate, op9_substrings, op10_quality, op11_pii, op12_divergence, oracles
+from lexmill.llm import op8_decontaminate, op9_substrings, op10_quality, op11_pii, op12_divergence, op13_interaction, oracles
 from lexmill.llm.common import documents
 
 #: The other operators cannot be written in SQL over whole tables; tests compare them with brute force.
-ORACLES: dict[str, str] = {"op11_pii_scan": oracles.PII, "op12_source_divergence": oracles.DIVERGENCE}
+ORACLES: dict[str, str] = {
+    "op11_pii_scan": oracles.PII, "op12_source_divergence": oracles.DIVERGENCE, "op13_filter_interaction": oracles.INTERACTION,
+}
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 
@@ -71,6 +73,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_divergence.source_divergence(documents(spark, sf_dir))
 
 
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_interaction.interaction_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_license_scan, op3_simhash_groups, op4_bpe_round_trip, op5_token_count, op6_toxicity_score,
-        op7_line_dedup, op8_contamination, op9_substring_dedup, op10_quality_rules, op11_pii_scan, op12_source_divergence, pipeline,
+        op7_line_dedup, op8_contamination, op9_substring_dedup, op10_quality_rules, op11_pii_scan, op12_source_divergence,
+        op13_filter_interaction, pipeline,
     )
 }

@@ -43,5 +43,5 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
 
 def test_every_operator_is_registered():
     names = entry_points.queries()
-    assert sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in names
+    assert sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 14)) and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "simhash near-dedup", "benchmark decontamination", "byte-level bpe"]
