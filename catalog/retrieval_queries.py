@@ -10,6 +10,7 @@ from lexmill.operators import chunks as C
 from lexmill.operators import dense as D
 from lexmill.operators import evaluate as E
 from lexmill.operators import fusion as U
+from lexmill.operators.ivf import VectorIndex
 from lexmill.operators.lexical import LexicalIndex
 from lexmill.plans import hybrid as H
 from lexmill.session import stage
@@ -187,24 +188,36 @@ def bm25_filtered(spark, sf):
     return hits.select("query_id", "rank", "chunk_id", "raw")
 
 
-@query(
-    "dense_topk",
-    """WITH c AS (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2),
+DENSE = """WITH c AS (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2),
     q AS (SELECT label::BIGINT AS query_id, list(x ORDER BY i) AS e FROM c GROUP BY 1),
     s AS (SELECT query_id, vec_id::VARCHAR AS chunk_id, vec_id::INTEGER AS article_number, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_number) AS rank FROM s)
-    SELECT query_id, rank::INTEGER AS rank, chunk_id, score FROM r WHERE rank <= 10""",
-)
-def dense_topk(spark, sf):
-    """Nearest vectors to each label's mean vector."""
+    SELECT query_id, rank::INTEGER AS rank, chunk_id, score FROM r WHERE rank <= 10"""
+
+
+def _label_means(spark, sf):
     from lexmill.operators.monitor import mean_vector
 
     emb = table(spark, sf, "embeddings")
     queries = mean_vector(emb, ["label"]).select(F.col("label").cast("bigint").alias("query_id"), F.col("mean").alias("embedding"))
-    vectors = emb.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").cast("int").alias("article_number"), "embedding")
+    return queries, emb.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").cast("int").alias("article_number"), "embedding")
+
+
+@query("dense_topk", DENSE)
+def dense_topk(spark, sf):
+    """Nearest vectors to each label's mean vector."""
+    queries, vectors = _label_means(spark, sf)
     return D.dense_topk(vectors, queries, limit=10).select("query_id", "rank", "chunk_id", "score")
 
 
+@query("dense_ivf_topk", DENSE)
+def dense_ivf_topk(spark, sf):
+    """The same through the inverted file with every cell probed, half of the vectors added after the fit."""
+    queries, vectors = _label_means(spark, sf)
+    index = VectorIndex.build(vectors.filter("article_number % 2 = 0"), cell_rows=200).add(vectors.filter("article_number % 2 <> 0"), cell_rows=200)
+    return index.search(queries, limit=10, probes=index.cells.count()).select("query_id", "rank", "chunk_id", "score")
+
+
 HYBRID = f"WITH {S.HYBRID_BASE}, {S.hybrid(5, 20)}"
 
 
@@ -260,6 +273,19 @@ def hybrid_hits(spark, sf, chunks=None, **options):
     return H.retrieve(X.article_questions(spark, sf), LexicalIndex.build(chunks), chunks, synonyms=[], **options)
 
 
+MIXED = HYBRID.replace("qvec q WHERE NOT q.exclude_repealed OR NOT v.is_repealed", "qvec q WHERE q.query_id % 3 <> 0 AND (NOT q.exclude_repealed OR NOT v.is_repealed)")
+
+
+@query("hybrid_mixed_vectors", f"{MIXED} SELECT query_id, rank::INTEGER AS rank, chunk_id, score, source FROM final")
+def hybrid_mixed_vectors(spark, sf):
+    """Questions with vectors of another length are ranked by BM25 alone, those without get theirs inside the retrieval."""
+    asked = X.article_questions(spark, sf)
+    own = F.when(F.col("query_id") % 3 == 0, F.slice("embedding", 1, 16)).when(F.col("query_id") % 3 == 1, F.col("embedding"))
+    chunks = stored_chunks(spark, sf)
+    hits = H.retrieve(asked.withColumn("embedding", own), LexicalIndex.build(chunks), chunks, synonyms=[], embed_questions=X.with_hash_vector)
+    return hits.select("query_id", "rank", "chunk_id", "score", "source")
+
+
 @query(
     "hybrid_min_score",
     f"{HYBRID} SELECT query_id, rank::INTEGER AS rank, chunk_id, score, source FROM final WHERE score >= 0.0115 OR source = 'exact_lookup'",

@@ -148,12 +148,13 @@ def bm25(limit: int, where: str = "") -> str:
     ``queries(query_id, question, ...)`` to ``bm25``."""
     return f"""
 tok AS (SELECT chunk_id, unnest({words('ctext')}) AS w FROM chunks),
-tf AS (SELECT chunk_id, term, count(*) AS tf FROM ({stem_steps('tok', 'chunk_id')}) GROUP BY 1, 2),
+tf AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM ({stem_steps('tok', 'chunk_id')}) GROUP BY 1, 2),
 dl AS (SELECT chunk_id, sum(tf)::DOUBLE AS dl FROM tf GROUP BY 1),
 st AS (SELECT (SELECT count(*) FROM chunks)::DOUBLE AS n,
               (SELECT sum(tf) FROM tf)::DOUBLE / (SELECT count(*) FROM chunks) AS avgdl),
-idf0 AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), st),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM idf0) ELSE r END AS idf FROM idf0),
+idf0 AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), st),
+idfm AS MATERIALIZED (SELECT avg(r) AS m FROM idf0),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM idf0, idfm),
 qtok AS (SELECT query_id, unnest({words('question')}) AS w FROM queries),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM ({stem_steps('qtok', 'query_id')}) GROUP BY 1, 2),
 scored AS (
