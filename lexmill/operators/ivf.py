@@ -20,9 +20,10 @@ ROUNDS = 8
 #: Rows of a cell from which it is split, and the rounds of splitting.
 CELL_ROWS = 100_000
 SPLITS = 3
-#: Share of the cells a query looks into unless told otherwise, and the least number.
-PROBED_SHARE = 0.1
-LEAST_PROBES = 8
+#: The cells a query looks into are as many as give this recall of the nearest neighbours of some stored vectors.
+RECALL = 0.97
+CHECKED = 200
+NEIGHBOURS = 10
 
 
 def spherical_means(x: np.ndarray, k: int, seed: int = 0, rounds: int = ROUNDS) -> np.ndarray:
@@ -79,13 +80,14 @@ class VectorIndex:
 
     @classmethod
     def build(
-        cls, vectors: DataFrame, path: str | None = None, cells: int | None = None, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, seed: int = 0
+        cls, vectors: DataFrame, path: str | None = None, cells: int | None = None, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, seed: int = 0, recall: float = RECALL
     ) -> "VectorIndex":
         """Fit centroids on a bounded sample, store every vector by cell.
 
         ``cells`` defaults to the square root of the number of vectors. A cell of more than ``cell_rows`` rows is fitted
         again on a sample of its own and divided; what cannot be divided, as copies of one vector, is stored in several
-        files by a hash of the chunk, so no task reads more than a file of it.
+        files by a hash of the chunk, so no task reads more than a file of it. How many cells a search looks into follows
+        from ``recall``: the exact neighbours of some stored vectors tell how many cells hold that share of them.
         """
         spark = vectors.sparkSession
         path = path or f"{staging_root(spark)}/ivf-{uuid.uuid4().hex}"
@@ -115,6 +117,8 @@ class VectorIndex:
             placed = stage(placed.filter(~F.col("cell").isin(old)).unionByName(moved), "ivf-assigned")
         placed.limit(0).write.mode("overwrite").parquet(f"{path}/shape")
         _stored(placed, path, cell_rows, "overwrite")
+        probes = _probes_for(placed, centroids, recall, seed)
+        spark.createDataFrame([(probes, recall)], "probes int, recall double").write.mode("overwrite").parquet(f"{path}/settings")
         counts = placed.groupBy("cell").agg(F.count("*").alias("rows"))
         rows = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
         rows.join(counts, "cell", "left").fillna(0, ["rows"]).write.mode("overwrite").parquet(f"{path}/cells")
@@ -136,10 +140,11 @@ class VectorIndex:
 
     def centroids(self) -> np.ndarray:
         rows = self.cells.select("cell", "centroid").orderBy("cell").collect()  # CENTROID_BYTES
-        return np.array([r.centroid for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        return np.array([r.centroid for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0].centroid) if rows else 1)
 
     def probes(self) -> int:
-        return max(LEAST_PROBES, math.ceil(PROBED_SHARE * self.cells.count()))
+        """Cells that reach the recall asked for when the index was built."""
+        return self.vectors.sparkSession.read.parquet(f"{self.path}/settings").first().probes
 
     def search(
         self, queries: DataFrame, limit: int = 20, probes: int | None = None, limit_column: str | None = None, max_query_bytes: int = 32 << 20, max_cells: int = 4 << 20
@@ -154,6 +159,8 @@ class VectorIndex:
         probes = min(probes or self.probes(), len(centroids))
 
         def one(part: DataFrame) -> DataFrame:
+            if not probes:
+                return D.search_pass(self.vectors, [], part, limit, max_cells)
             rows = _probing(part.filter(F.size("embedding") == centroids.shape[1]), centroids, probes).collect()  # a pass: max_query_bytes
             asked: dict[int, list[int]] = {}
             for j, r in enumerate(rows):
@@ -165,6 +172,20 @@ class VectorIndex:
         return D.best_per_query(D.in_passes(D.query_side(queries), max_query_bytes, one), queries, limit, limit_column)
 
 
+def _probes_for(placed: DataFrame, centroids: np.ndarray, recall: float, seed: int) -> int:
+    """Least number of nearest cells that hold the share ``recall`` of the neighbours of ``CHECKED`` stored vectors."""
+    order = F.xxhash64(F.lit(~seed), "chunk_id")
+    asked = placed.select(F.col("chunk_id").alias("query_id"), "embedding", order.alias("_h")).orderBy("_h", "query_id").limit(CHECKED).drop("_h")
+    asked = stage(asked.dropDuplicates(["query_id"]), "ivf-asked")
+    near = D.dense_topk(placed, asked, NEIGHBOURS + 1).filter("query_id <> chunk_id").select("query_id", "chunk_id")
+    rows = placed.select("chunk_id", "cell").join(F.broadcast(near), "chunk_id").join(F.broadcast(asked), "query_id").select("embedding", "cell").collect()
+    if not rows:
+        return max(1, len(centroids))
+    ranked = _nearest(D.unit_rows(np.array([r.embedding for r in rows], dtype=np.float64)), centroids, len(centroids))
+    needed = np.sort(np.argmax(ranked == np.array([r.cell for r in rows])[:, None], axis=1)) + 1
+    return int(needed[math.ceil(recall * len(needed)) - 1])
+
+
 def _assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``vectors`` with the number of the nearest centroid as ``cell``."""
     spark = vectors.sparkSession
@@ -201,4 +222,4 @@ def _stored(placed: DataFrame, path: str, cell_rows: int, mode: str) -> None:
     """One folder a cell; a cell of many rows has several files."""
     parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_parts"))
     spread = placed.join(broadcast_if_small(parts, 100_000), "cell").withColumn("_part", F.pmod(F.xxhash64("chunk_id"), "_parts"))
-    spread.repartition("cell", "_part").drop("_part", "_parts").write.mode(mode).partitionBy("cell").parquet(f"{path}/vectors")
+    spread.repartition("cell", "_part").drop("_part", "_parts").write.mode(mode).option("maxRecordsPerFile", cell_rows).partitionBy("cell").parquet(f"{path}/vectors")
