@@ -108,16 +108,19 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def plain_bits(tokens):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(tokens)]
+def majority(hashes):
     return sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def plain_bits(tokens):
+    return majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in set(tokens)])
+
+
 def plain_blocks(norm):
     """The blocks of a line as (by words, power, side, place, bits of the block that count)."""
     words = norm.split(" ")
     by_words = len(words) >= 6
-    tokens, out = words if by_words else list(norm), set()
+    tokens, out = words if by_words else list(norm), []
     if len(norm) < 5:
         return out
     power = len(tokens).bit_length() - 1
@@ -125,8 +128,8 @@ def plain_blocks(norm):
     for side, row in enumerate((tokens, tokens[::-1])):
         for j in range(len(tokens) // size if by_words else 1):
             part = row[j * size : (j + 1) * size]
-            width, longs = (7, 4) if len(set(part)) < 64 else (15, 8)
-            out.add((by_words, power, side, j, plain_bits(part) & sum(1 << i + width * k for i in range(longs) for k in range(63 // width))))
+            width, longs = (4, 2) if len(set(part)) < 8 else (7, 4) if len(set(part)) < 64 else (15, 8)
+            out.append((by_words, power, side, j, plain_bits(part) & sum(1 << i + width * k for i in range(longs) for k in range(63 // width))))
     return out
 
 
@@ -134,15 +137,16 @@ def plain_line_dedup(rows, similarity=0.8, links=True):
     """All pairs of distinct lines, on documents with different ids."""
     places = [(i, k, plain_norm(x)) for i, t in rows if i is not None for k, x in enumerate((t or "").split("\n")) if plain_norm(x)]
     norms = sorted({n for *_, n in places})
-    blocks, prints = {n: plain_blocks(n) for n in norms}, {n: plain_bits(n.split(" ") if n.count(" ") >= 5 else list(n)) for n in norms}
+    blocks = {n: plain_blocks(n) for n in norms}
+    prints = {n: majority([x[-1] for x in blocks[n]]) for n in norms}
     meet = {}
     for n in norms:
-        for x in blocks[n]:
+        for x in set(blocks[n]):
             meet.setdefault(x, []).append(n)
     pairs = {(a, b) for group in meet.values() for a in group for b in group if a < b}
     links = [
         (a, b) for a, b in pairs
-        if (prints[a] ^ prints[b]).bit_count() <= 22 and abs(len(a) - len(b)) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
+        if (prints[a] ^ prints[b]).bit_count() <= 10 and abs(len(a) - len(b)) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
         and edit_distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
     ]
     group = groups_of(links, norms)
