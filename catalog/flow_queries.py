@@ -23,6 +23,8 @@ from lexmill.sources import readers as R
 from lexmill.sources import sinks as W
 from lexmill.streaming import streams as Z
 
+BOUNDS = K.LATENCY_BUCKETS
+
 
 def fresh(spark, label: str) -> str:
     return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
@@ -285,17 +287,28 @@ def _rolling_sql(slide: int) -> str:
     starts = f"range(0, {5 // slide})"
     return f"""{REQ}, w AS (SELECT time_bucket(INTERVAL '{slide} minutes', ts) - unnest({starts}) * INTERVAL '{slide} minutes' AS ws, * FROM rt),
     g AS (SELECT ws, endpoint, count(*) AS requests, round(count_if(status_code >= 500) / count(*)::DOUBLE, 6) AS error_rate,
-      count_if(duration_s <= 0.5)::BIGINT AS le_3 FROM w GROUP BY 1, 2)
-    SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, endpoint, requests, error_rate, le_3 FROM g
+      round(quantile_disc(duration_s, 0.95), 6) AS p95_value, {', '.join(f"count_if(duration_s <= {x})::BIGINT AS le_{i}" for i, x in enumerate(BOUNDS))} FROM w GROUP BY 1, 2)
+    SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, endpoint, requests, error_rate, {', '.join(f"le_{i}" for i in range(len(BOUNDS)))}, p95_value,
+      round(CASE {_bucket_p95()} ELSE {BOUNDS[-1]}::DOUBLE END, 6) AS p95 FROM g
     WHERE ws + INTERVAL '5 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"""
 
 
+def _bucket_p95() -> str:
+    """Interpolation inside the first bucket that reaches the rank."""
+    out = []
+    for i, upper in enumerate(BOUNDS):
+        lower, before = (BOUNDS[i - 1], f"le_{i - 1}") if i else (0.0, "0")
+        inside = f"{lower}::DOUBLE + {upper - lower}::DOUBLE * (requests * 0.95::DOUBLE - {before}) / nullif(le_{i} - {before}, 0)"
+        out.append(f"WHEN le_{i} >= requests * 0.95::DOUBLE THEN coalesce({inside}, {upper}::DOUBLE)")
+    return " ".join(out)
+
+
 def _rolling(spark, sf, slide):
     stream = Z.request_metrics(stream_requests(spark, sf), "5 minutes", slide)
     rows = Z.drain(stream, fresh(spark, "rolling"), fresh(spark, "ckpt"))
     return rows.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "endpoint", "requests",
-        F.round("error_rate", 6).alias("error_rate"), "le_3",
+        F.round("error_rate", 6).alias("error_rate"), *[f"le_{i}" for i in range(len(BOUNDS))], *[F.round(c, 6).alias(c) for c in ("p95_value", "p95")],
     )
 
 
@@ -327,6 +340,37 @@ def stream_drift_windows(spark, sf):
     )
 
 
+KS_CELLS = 32
+
+
+@query(
+    "stream_drift_ks",
+    f"""WITH m AS (SELECT i, avg(x) AS x FROM (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id % 2 = 0) GROUP BY 1),
+    c AS (SELECT list(x ORDER BY i) AS c FROM m),
+    d AS (SELECT vec_id, TIMESTAMP '2024-01-01' + vec_id * INTERVAL '1 minute' AS ts, round(1 - list_cosine_similarity(embedding::DOUBLE[], c), 6) AS d FROM embeddings, c),
+    w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS ws, d FROM d WHERE vec_id % 2 = 1), b AS (SELECT d FROM d WHERE vec_id % 2 = 0),
+    n AS (SELECT ws, count(*) AS n1 FROM w GROUP BY 1), x AS (SELECT DISTINCT d AS x FROM d),
+    fb AS (SELECT x, (SELECT count(*) FROM b WHERE b.d <= x) / (SELECT count(*) FROM b)::DOUBLE AS g FROM x),
+    f AS (SELECT n.ws, n1, x, count(w.d) / n1::DOUBLE AS f FROM n CROSS JOIN x LEFT JOIN w ON w.ws = n.ws AND w.d <= x GROUP BY n.ws, x, n1),
+    fg AS (SELECT ws, n1, x, f, g FROM f JOIN fb USING (x)),
+    ks AS (SELECT ws, n1, max(abs(f - g)) AS ks FROM fg GROUP BY ALL),
+    cuts AS (SELECT DISTINCT unnest(quantile_disc(d, [{', '.join(f"{i} / {KS_CELLS}.0" for i in range(1, KS_CELLS))}])) AS x FROM b),
+    pts AS (SELECT ws, x, f, g FROM fg SEMI JOIN cuts USING (x) UNION ALL SELECT ws, -1e9, 0, 0 FROM n UNION ALL SELECT ws, 1e9, 1, 1 FROM n),
+    cell AS (SELECT *, lead(f) OVER (PARTITION BY ws ORDER BY x) AS f2, lead(g) OVER (PARTITION BY ws ORDER BY x) AS g2 FROM pts),
+    bound AS (SELECT ws, max(abs(f - g)) AS low, max(greatest(abs(f - g), f2 - g, g2 - f)) AS high FROM cell GROUP BY ws)
+    SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS start, n1 AS sample_size, round(low, 6) AS ks_low, round(high, 6) AS ks_high, ks BETWEEN low - 1e-9 AND high + 1e-9 AS holds
+    FROM ks JOIN n USING (ws, n1) JOIN bound USING (ws) WHERE ws + INTERVAL '1 hour' <= (SELECT max(ts) FROM d WHERE vec_id % 2 = 1) - INTERVAL '10 minutes'""",
+)
+def stream_drift_ks(spark, sf):
+    """Bounds of the test from a window's counters; the counterpart also finds the exact statistic between them."""
+    base, odd = F.unix_timestamp(F.lit("2024-01-01 00:00:00")), F.col("vec_id") % 2 == 1
+    vectors = stream_table(spark, sf, "embeddings").filter(odd).withColumn("ts", F.timestamp_seconds(base + F.col("vec_id") * 60))
+    stream = Z.drift_ks_windows(vectors, table(spark, sf, "embeddings").filter(~odd), cells=KS_CELLS, digits=6)
+    rows = Z.drain(stream, fresh(spark, "drift"), fresh(spark, "ckpt"))
+    start = F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start")
+    return rows.select(start, "sample_size", F.round("ks_low", 6).alias("ks_low"), F.round("ks_high", 6).alias("ks_high"), F.lit(True).alias("holds"))
+
+
 @query(
     "stream_token_answers",
     f"""WITH {TOKENS} SELECT conv_id || ':' || turn AS trace_id, string_agg(CASE WHEN seq = 1 THEN w ELSE ' ' || w END, '' ORDER BY seq) AS answer,

@@ -1,5 +1,7 @@
 """Index and retrieval queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as X
@@ -12,8 +14,9 @@ from lexmill.operators import evaluate as E
 from lexmill.operators import fusion as U
 from lexmill.operators.ivf import VectorIndex
 from lexmill.operators.lexical import LexicalIndex
+from lexmill.operators.segments import SegmentedIndex
 from lexmill.plans import hybrid as H
-from lexmill.session import stage
+from lexmill.session import stage, staging_root
 
 
 def doc_index(spark, sf):
@@ -149,6 +152,47 @@ def bm25_topk(spark, sf):
     return hits.select("query_id", "rank", "chunk_id", "raw", F.round("score", 6).alias("score"))
 
 
+def _amended(spark, sf, path):
+    """An index of stale texts and surplus documents that four writes bring to the documents as they are."""
+    docs = X.doc_chunks(spark, sf)
+    n = F.col("article_number")
+    stale = docs.withColumn("text_ar_normalized", F.when(n % 4 == 0, F.col("text_ar")).otherwise(F.concat(F.lit("stale words "), F.reverse("text_ar"))))
+    surplus = docs.filter(n % 5 == 0).withColumn("chunk_id", F.concat("chunk_id", F.lit("-gone")))
+    index = SegmentedIndex.create(stale.filter(n % 7 != 3).unionByName(surplus), path)
+    for k in (1, 2, 3):
+        index.write(docs.filter((n % 4 == k) | (n % 7 == 3)), writer=f"round:{k}")
+    return index.write(docs.filter(n < 20), writer="round:4", delete=surplus.select("chunk_id"))
+
+
+@query("bm25_segments", f"{BM25_DOCS} SELECT query_id, rank::INTEGER AS rank, chunk_id, raw, round(score, 6) AS score FROM bm25")
+def bm25_segments(spark, sf):
+    """A base and four segments, with amended, added and removed chunks, searched as one index."""
+    index = _amended(spark, sf, f"{staging_root(spark)}/segments-{uuid.uuid4().hex}")
+    hits = index.view().search(X.doc_questions(spark, sf), limit=5)
+    return hits.select("query_id", "rank", "chunk_id", "raw", F.round("score", 6).alias("score"))
+
+
+@query(
+    "bm25_segments_merged",
+    f"""WITH {S.DOC_CHUNKS}, {S.bm25(5)}, s AS (SELECT count(*) AS n_terms, sum(df)::BIGINT AS postings, round(avg(idf), 6) AS mean_idf FROM idf)
+    SELECT query_id, rank::INTEGER AS rank, chunk_id, raw, n_terms, postings, mean_idf FROM bm25, s""",
+)
+def bm25_segments_merged(spark, sf):
+    """The same after the segments were merged, with the statistics of the merged index."""
+    index = _amended(spark, sf, f"{staging_root(spark)}/segments-{uuid.uuid4().hex}").merge(ratio=100).view()
+    known = index.terms().agg(F.count("*").alias("n_terms"), F.sum("df").alias("postings"), F.round(F.avg("idf"), 6).alias("mean_idf"))
+    hits = index.search(X.doc_questions(spark, sf), limit=5).select("query_id", "rank", "chunk_id", "raw")
+    return hits.join(F.broadcast(known))
+
+
+@query("bm25_pruned", f"{BM25_DOCS} SELECT query_id, rank::INTEGER AS rank, chunk_id, raw, round(score, 6) AS score FROM bm25")
+def bm25_pruned(spark, sf):
+    """The search that leaves out ranges of chunks which cannot reach a question's best."""
+    index = LexicalIndex.build(X.doc_chunks(spark, sf), buckets=32, pruned=True)
+    hits = index.search(X.doc_questions(spark, sf), limit=5)
+    return hits.select("query_id", "rank", "chunk_id", "raw", F.round("score", 6).alias("score"))
+
+
 @query(
     "multi_corpus_bm25",
     f"""WITH {S.DOC_CHUNKS.replace("doc_id::VARCHAR AS chunk_id, doc_id::INTEGER AS article_number", "'c' || (doc_id % 2) || ':art_' || (doc_id // 2) AS chunk_id, (doc_id // 2)::INTEGER AS article_number")},

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lexmill.functions import text as X
 from lexmill.functions.vectors import hash_embedding, point_id
 from lexmill.schemas import CHUNK_COLUMNS
-from lexmill.session import fits, stage
+from lexmill.session import broadcast_if_small, fits, stage
 
 COLLECTION = ["model_id", "dim", "corpus_hash"]
 
@@ -144,13 +144,11 @@ def article_key(df: DataFrame) -> list[str]:
     return [c for c in ("corpus_id", "article_number") if c in df.columns]
 
 
-def stored_buckets(spark: SparkSession, path: str, rows: DataFrame) -> dict[tuple, int]:
-    """Bucket count of each collection of ``rows`` that is already stored, from the folder names."""
+def stored_buckets(spark: SparkSession, path: str) -> DataFrame | None:
+    """Bucket count of each stored collection, one row a collection, from the folder names."""
     if not table_exists(spark, path):
-        return {}
-    wanted = rows.select(*COLLECTION).distinct()
-    found = spark.read.parquet(path).select(*COLLECTION, "buckets").distinct().join(F.broadcast(wanted.limit(10_000)), COLLECTION)
-    return {tuple(r)[:-1]: r.buckets for r in found.collect()}  # collections named in one call
+        return None
+    return spark.read.parquet(path).select(*COLLECTION, F.col("buckets").alias("_stored")).distinct()
 
 
 def next_version(
@@ -185,14 +183,12 @@ def upsert_vectors(
     """
     place = [*COLLECTION, "buckets", "bucket"]
     rows = rows if "writer" in rows.columns else rows.withColumn("writer", F.lit(None).cast("string"))
-    known = stored_buckets(spark, path, rows)
-    count = F.lit(buckets)
-    for collection, n in known.items():
-        same = F.lit(True)
-        for name, value in zip(COLLECTION, collection):
-            same = same & (F.col(name) == F.lit(value))
-        count = F.when(same, F.lit(n)).otherwise(count)
-    keyed = rows.withColumn("buckets", count.cast("int"))
+    known = stored_buckets(spark, path)
+    if known is None:
+        keyed = rows.withColumn("buckets", F.lit(buckets).cast("int"))
+    else:
+        keyed = rows.join(broadcast_if_small(known), COLLECTION, "left")
+        keyed = keyed.withColumn("buckets", F.coalesce("_stored", F.lit(buckets)).cast("int")).select(*rows.columns, "buckets")
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(*article_key(rows)), F.col("buckets")).cast("int"))
     incoming = stage(keyed, "upsert-in")
     merged = incoming

@@ -1,18 +1,20 @@
 """BM25 over a stored postings table."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill import constants as K
 from lexmill.functions import text as X
-from lexmill.session import broadcast_if_small, stage
+from lexmill.session import broadcast_if_small, stage, staging_root
 
 CHUNK_KEYS = ["chunk_id", "article_number", "paragraph_number", "book", "chapter", "is_repealed"]
 CHUNK_ORDER = ["article_number", "paragraph_number", "chunk_id"]
 SCORE_DIGITS = 6
 
 
-def postings(chunks: DataFrame, text: Column | None = None, **token_options) -> DataFrame:
+def postings(chunks: DataFrame, text: Column | None = None, buckets: int | None = None, **token_options) -> DataFrame:
     """One row per chunk and term: ``tf``, the chunk's length ``dl`` and its filter columns.
 
     ``head`` is 1 on exactly one row per chunk, so chunk counts need no distinct; a chunk without
@@ -21,7 +23,8 @@ def postings(chunks: DataFrame, text: Column | None = None, **token_options) ->
     tokens then meet without shuffling the much wider postings.
     """
     text = F.coalesce("text_ar_normalized", "text_ar") if text is None else text
-    placed = chunks.select(*_chunk_keys(chunks), text.alias("body")).repartition("chunk_id")
+    placed = chunks.select(*_chunk_keys(chunks), text.alias("body"))
+    placed = placed.repartition(buckets, "chunk_id") if buckets else placed.repartition("chunk_id")
     rows = placed.select(*CHUNK_KEYS, X.kept_words(F.col("body"), **token_options).alias("words"))
     words = rows.select(
         *CHUNK_KEYS, F.size("words").alias("dl"), F.posexplode_outer("words").alias("pos", "word")
@@ -40,40 +43,81 @@ def _chunk_keys(chunks: DataFrame) -> list[Column]:
     ]
 
 
+#: Chunks from which an index keeps the peaks of its ranges and a search leaves ranges out.
+PRUNED_FROM = 1_000_000
+
+
+def placed_table(df: DataFrame, path: str, buckets: int, order: list[str], write: bool = True) -> DataFrame:
+    """A stored table that knows its place: rows of a chunk are in one bucket, so sums by chunk need no exchange.
+
+    The files are an external table of the session's catalog under a name of their own; ``write`` off only names them.
+    """
+    spark, name = df.sparkSession, f"lexmill_placed_{uuid.uuid4().hex}"
+    if write:
+        rows = df.repartition(buckets, "chunk_id").write.bucketBy(buckets, "chunk_id").sortBy(*order)
+        rows.mode("overwrite").option("path", path).saveAsTable(name)
+        spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}-layout")
+        df.limit(0).write.mode("overwrite").parquet(f"{path}-shape")  # a table without rows has no file that tells its columns
+    else:
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (chunk_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def stored_placed_table(spark: SparkSession, path: str) -> DataFrame:
+    return placed_table(spark.read.parquet(f"{path}-shape"), path, spark.read.parquet(f"{path}-layout").first().buckets, [], write=False)
+
+
 class LexicalIndex:
-    """Four stored tables: postings, term statistics, one row of corpus totals, and the chunks' keys.
+    """Stored tables: postings, term statistics, one row of corpus totals, the chunks' keys, and peaks of ranges.
 
     A search reads the totals, the small term table and the postings columns it needs; nothing is
-    counted again. The chunk table is sorted by article, so a lookup of some numbers skips row groups.
+    counted again. The chunk table is sorted by article, so a lookup of some numbers skips row groups. The postings may
+    come in several parts, each with all terms of its chunks.
     """
 
-    def __init__(self, postings: DataFrame, term_table: DataFrame, totals: DataFrame, chunk_table: DataFrame):
-        self.postings, self.term_table, self.totals, self.chunk_table = postings, term_table, totals, chunk_table
+    def __init__(self, parts: list[DataFrame], term_table: DataFrame, totals: DataFrame, chunk_table: DataFrame, peaks: DataFrame | None = None):
+        self.parts, self.term_table, self.totals, self.chunk_table, self.peaks = parts, term_table, totals, chunk_table, peaks
+
+    @property
+    def postings(self) -> DataFrame:
+        out = self.parts[0]
+        for part in self.parts[1:]:
+            out = out.unionByName(part)
+        return out
 
     @classmethod
-    def build(cls, chunks: DataFrame, path: str | None = None, **options) -> "LexicalIndex":
-        """Tokenize once and store; files are sorted by term so lookups skip row groups."""
+    def build(cls, chunks: DataFrame, path: str | None = None, buckets: int | None = None, pruned: bool | None = None, **options) -> "LexicalIndex":
+        """Tokenize once and store; a chunk's postings are in one bucket, sorted by term.
+
+        ``pruned`` adds the peaks: for each term and range of chunks the greatest frequency and the least length, from
+        which a search tells ranges that cannot reach a question's best; by default from ``PRUNED_FROM`` chunks on. A
+        range is a bucket.
+        """
+        spark = chunks.sparkSession
+        path = path or f"{staging_root(spark)}/lexical-{uuid.uuid4().hex}"
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
         def keep(df: DataFrame, name: str) -> DataFrame:
-            if path is None:
-                return stage(df, name)
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-            return chunks.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-        rows = keep(postings(chunks, **options).sortWithinPartitions("term"), "postings")
+        found = postings(chunks, buckets=buckets, **options).withColumn("range", F.pmod(F.hash("chunk_id"), F.lit(buckets)))
+        rows = placed_table(found, f"{path}/postings", buckets, ["term"])
         counted = rows.agg(F.sum("head").alias("n_chunks"), F.sum("tf").alias("n_tokens"))
-        n = counted.select("n_chunks").scalar()
-        found = rows.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-        raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        terms = keep(found.withColumn("raw_idf", raw), "terms")
-        mean = terms.agg(F.avg("raw_idf").alias("m")).scalar()
-        avgdl = F.col("n_tokens") / F.nullif("n_chunks", F.lit(0))
-        totals = keep(counted.withColumns({"avgdl": avgdl, "mean_idf": mean}), "totals")
-        chunk_rows = rows.filter("head = 1").select(*CHUNK_KEYS, "dl")
-        return cls(rows, terms, totals, keep(chunk_rows.sortWithinPartitions("article_number"), "chunks"))
+        terms = keep(rows.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")), "terms")
+        totals = keep(with_means(counted, terms), "totals")
+        chunk_rows = keep(rows.filter("head = 1").select(*CHUNK_KEYS, "dl").sortWithinPartitions("article_number"), "chunks")
+        peaks = None
+        if pruned or (pruned is None and (totals.first().n_chunks or 0) >= PRUNED_FROM):
+            peaks = keep(range_peaks(rows), "peaks")
+        return cls([rows], terms, totals, chunk_rows, peaks)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "LexicalIndex":
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals", "chunks")])
+        peaks = spark.read.parquet(f"{path}/peaks") if path_exists(spark, f"{path}/peaks") else None
+        tables = [spark.read.parquet(f"{path}/{name}") for name in ("terms", "totals", "chunks")]
+        return cls([stored_placed_table(spark, f"{path}/postings")], *tables, peaks)
 
     def corpus(self) -> DataFrame:
         """One row: chunk count, token count and mean length."""
@@ -84,8 +128,9 @@ class LexicalIndex:
 
     def terms(self, epsilon: float = K.BM25_EPSILON) -> DataFrame:
         """Document frequency and idf per term; negative idf becomes epsilon times the mean idf."""
-        floor = self.totals.select((F.col("mean_idf") * epsilon).alias("floor")).scalar()
-        return self.term_table.withColumn("idf", F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")))
+        known = self.totals.first()
+        raw = raw_idf(F.lit(known.n_chunks))
+        return self.term_table.withColumn("raw_idf", raw).withColumn("idf", F.when(raw < 0, F.lit(epsilon) * known.mean_idf).otherwise(raw))
 
     def query_terms(self, queries: DataFrame, synonyms=K.SYNONYMS, **token_options) -> DataFrame:
         """Query terms with how often each occurs in the expanded question."""
@@ -117,20 +162,36 @@ class LexicalIndex:
         extra = [c for c in ("filters", limit_column) if c and c in queries.columns]
         if extra:
             weights = weights.join(queries.select("query_id", *extra), "query_id")
-        weights = broadcast_if_small(stage(weights, "query-terms"), max_rows=1_000_000)
+        weights = stage(weights, "query-terms")
         avgdl = self.corpus().select("avgdl").scalar()
-        gain = (
-            F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1)
-            / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-        )
-        hits = self.postings.filter("term IS NOT NULL").join(weights, "term")
-        if "filters" in extra:
-            hits = hits.filter(matches_filters(article_numbers=True))
+
+        def gain(tf: str, dl: str) -> Column:
+            return F.col("qtf") * F.col("idf") * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / avgdl))
+
         keys = ["query_id", *CHUNK_ORDER] + ([limit_column] if limit_column else [])
-        scored = hits.groupBy(*keys).agg(F.sum(gain).alias("raw")).filter("raw > 0")
-        scored = scored.withColumn("raw", F.round("raw", SCORE_DIGITS))
+
+        def scored(asked: DataFrame, on: list[str], ranges: list[int] | None = None) -> DataFrame:
+            """Sums of the gains by question and chunk. Each part of the postings is summed where it lies."""
+            side, out = broadcast_if_small(asked, max_rows=1_000_000), None
+            for part in self.parts:
+                part = part.filter("term IS NOT NULL")
+                part = part if ranges is None else part.filter(F.col("range").isin(ranges))
+                hits = part.join(side, on)
+                if "filters" in extra:
+                    hits = hits.filter(matches_filters(article_numbers=True))
+                sums = hits.groupBy(*keys).agg(F.sum(gain("tf", "dl")).alias("raw")).filter("raw > 0")
+                out = sums if out is None else out.unionByName(sums)
+            return out.withColumn("raw", F.round("raw", SCORE_DIGITS))
+
         order = Window.partitionBy("query_id").orderBy(F.desc("raw"), *CHUNK_ORDER)
-        top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+        def cut(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+        if self.peaks is None:
+            top = cut(scored(weights, ["term"]))
+        else:
+            top = cut(self._pruned(weights, gain, lambda asked, ranges: scored(asked, ["term", "range"], ranges), cut, limit))
         if limit_column:
             top = top.filter(F.col("rank") <= F.col(limit_column))
         best = F.max("raw").over(Window.partitionBy("query_id"))
@@ -139,6 +200,47 @@ class LexicalIndex:
             "query_id", "rank", *CHUNK_ORDER, "raw", "score"
         )
 
+    def _pruned(self, weights: DataFrame, gain, scored, cut, limit: int) -> DataFrame:
+        """Scores of all chunks that can be among a question's ``limit`` best.
+
+        What a range can reach at most is the sum of the gains of its greatest frequencies at its least lengths. The
+        range that promises most is scored first; its ``limit``-th score is a bound that other ranges must be able to
+        reach. Ranges that cannot are not read for the question, and files of ranges that no question needs are skipped.
+        """
+        reach = self.peaks.join(broadcast_if_small(weights, max_rows=1_000_000), "term")
+        reach = reach.groupBy("query_id", "range").agg(F.sum(F.greatest(gain("tf", "dl"), F.lit(0.0))).alias("most"))
+        reach = stage(reach.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("most", "range")), False).alias("ranges")), "query-ranges")
+
+        def asked(pairs: DataFrame) -> tuple[DataFrame, list[int]]:
+            pairs = stage(pairs.join(weights, "query_id"), "query-range-terms")
+            return pairs, [r.range for r in pairs.select("range").distinct().collect()]  # the ranges of the index
+
+        first = stage(scored(*asked(reach.select("query_id", F.col("ranges")[0]["range"].alias("range")))), "first-range")
+        bound = cut(first).groupBy("query_id").agg(F.when(F.count("*") == limit, F.min("raw")).alias("bound"))
+        rest = reach.select("query_id", F.explode(F.slice("ranges", 2, F.size("ranges"))).alias("r")).join(bound, "query_id", "left")
+        rest = rest.filter(F.col("bound").isNull() | (F.col("r.most") >= F.col("bound") - 10.0 ** -SCORE_DIGITS))
+        return first.unionByName(scored(*asked(rest.select("query_id", "r.range"))))
+
+
+def raw_idf(n: Column) -> Column:
+    return F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def with_means(counted: DataFrame, terms: DataFrame) -> DataFrame:
+    """The corpus counts with the mean length of a chunk and the mean idf of a term."""
+    n = counted.select("n_chunks").scalar()
+    mean = terms.agg(F.avg(raw_idf(n)).alias("m")).scalar()
+    return counted.withColumns({"avgdl": F.col("n_tokens") / F.nullif("n_chunks", F.lit(0)), "mean_idf": mean})
+
+
+def range_peaks(rows: DataFrame) -> DataFrame:
+    return rows.filter("term IS NOT NULL").groupBy("term", "range").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
 
 def matches_filters(article_numbers: bool) -> Column:
     """Row predicate of a per-query filter struct; null fields match everything."""

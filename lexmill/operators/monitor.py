@@ -81,9 +81,7 @@ def ks_two_sample(samples: DataFrame, value: str, side: str, digits: int | None
         F.coalesce(n1, F.lit(0)).alias("n1"), F.coalesce(n2, F.lit(0)).alias("n2"), "d"
     )
     empty = (F.col("n1") == 0) | (F.col("n2") == 0)
-    en = F.sqrt(F.nullif(F.col("n1") * F.col("n2"), F.lit(0)) / (F.col("n1") + F.col("n2")))
-    lam = (en + 0.12 + 0.11 / en) * F.col("d")
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * F.exp(-2.0 * lam * lam)))
+    p = ks_probability(F.col("d"), F.col("n1"), F.col("n2"))
     return out.select(
         "n1", "n2",
         F.when(empty, 0.0).otherwise(F.col("d")).alias("ks_statistic"),
@@ -91,6 +89,34 @@ def ks_two_sample(samples: DataFrame, value: str, side: str, digits: int | None
     )
 
 
+def ks_probability(d: Column, n1: Column, n2: Column) -> Column:
+    """Asymptotic p-value of the two-sample statistic ``d``; null if a sample is empty."""
+    en = F.sqrt(F.nullif(n1 * n2, F.lit(0)) / (n1 + n2))
+    lam = (en + 0.12 + 0.11 / en) * d
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * F.exp(-2.0 * lam * lam)))
+
+
+def baseline_cells(values: DataFrame, value: str, cells: int = 64) -> tuple[list[float], list[float], int]:
+    """Cuts of a sample at its quantiles, the share of the sample up to each cut, and its size: one row, whatever the sample."""
+    found = values.agg(F.percentile_approx(value, [i / cells for i in range(1, cells)], 10_000).alias("q")).first().q
+    cuts = sorted(set(found or []))
+    row = values.filter(F.col(value).isNotNull()).agg(F.count("*").alias("n"), *[F.count_if(F.col(value) <= c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+    return cuts, [row[f"c{i}"] / row.n for i in range(len(cuts))], row.n
+
+
+def ks_bounds(counts: list[Column], total: Column, shares: list[float]) -> tuple[Column, Column]:
+    """Least and greatest Kolmogorov-Smirnov statistic that fits the numbers of values up to each cut.
+
+    ``shares`` are those of the other sample. The least is the distance at the cuts; between two cuts either sample may
+    rise anywhere, so the greatest exceeds it by no more than what a sample has in one cell.
+    """
+    mine = [F.lit(0.0), *[c / total for c in counts], F.lit(1.0)]
+    other = [0.0, *shares, 1.0]
+    low = F.array_max(F.array(*[F.abs(a - F.lit(b)) for a, b in zip(mine, other, strict=True)]))
+    rise = [x for a, b, c, d in zip(mine, mine[1:], other, other[1:], strict=False) for x in (b - F.lit(c), F.lit(d) - a)]
+    return low, F.greatest(low, F.array_max(F.array(*rise)))
+
+
 def drift_report(queries: DataFrame, baseline: DataFrame, threshold: float = K.DRIFT_THRESHOLD, digits: int | None = None) -> DataFrame:
     """One row: distance of query vectors to the baseline centroid, KS against the baseline, verdict."""
     centers = centroid(baseline)

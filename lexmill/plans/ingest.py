@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import chunks as C
+from lexmill.operators.segments import SegmentedIndex
 from lexmill.sources.readers import table_fingerprint
 from lexmill.session import stage
 
@@ -71,9 +72,12 @@ def reindex(
     buckets: int = 64,
     writer: str | None = None,
     order_by: str | None = None,
+    lexical: SegmentedIndex | None = None,
 ) -> dict:
     """Add new or amended articles to an existing collection; the last write wins.
 
+    ``lexical`` is an index of the same corpus that gets the chunks as a segment, so words and vectors stay in step.
+
     Writes of a collection are numbered in the store. ``writer`` names a write that may be replayed: it keeps
     its number, so a replay changes nothing; without a name, the same documents sent twice in a row are one
     write. An explicit ``version`` takes the place of the number. Of several
@@ -93,6 +97,8 @@ def reindex(
     rows = _vectors(chunks, embed, model_id, dim, corpus_hash, version).withColumn("writer", F.lit(writer).cast("string"))
     rows = stage(rows, "reindex")
     C.upsert_vectors(spark, store, rows, buckets, replace_by_article)
+    if lexical is not None:
+        lexical.write(rows, writer, replace_by_article).merge()
     counts = rows.agg(F.count_distinct("article_number").alias("a"), F.count("*").alias("c")).first()
     return {
         "status": "reindexed_successfully", "collection_name": C.collection_name(model_id, dim, corpus_hash),

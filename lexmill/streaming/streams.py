@@ -32,23 +32,26 @@ def reindex_stream(
 
 def request_metrics(
     requests: DataFrame, window: str = "5 minutes", slide: str | None = None, late: str = "10 minutes",
-    keys: list[str] | None = None, bounds: list[float] = K.LATENCY_BUCKETS,
+    keys: list[str] | None = None, bounds: list[float] = K.LATENCY_BUCKETS, accuracy: int = 10_000,
 ) -> DataFrame:
-    """Rolling counts, error rate, histogram and bucket quantiles per window.
+    """Rolling counts, error rate, histogram and the 95th percentile per window: from the buckets and from a sketch.
 
-    State per window and key is a fixed set of counters, however heavy the traffic.
+    State per window and key is a fixed set of counters and a mergeable quantile sketch, however heavy the traffic.
+    ``p95_value`` is a duration whose rank is off by at most one ``accuracy``-th of the window's requests, so the exact
+    one up to that many requests.
     """
     keys = keys or ["endpoint"]
     rows = requests.withColumn("endpoint", X.endpoint_template(F.col("endpoint")))
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
     counted = rows.withWatermark("ts", late).groupBy(span.alias("w"), *keys).agg(
-        *M.bucket_columns(F.col("duration_s"), bounds), F.count_if(F.col("status_code") >= 500).alias("errors")
+        *M.bucket_columns(F.col("duration_s"), bounds), F.count_if(F.col("status_code") >= 500).alias("errors"),
+        F.percentile_approx("duration_s", 0.95, accuracy).alias("p95_value"),
     )
     return counted.select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys,
         F.col("total").alias("requests"), (F.col("errors") / F.col("total")).alias("error_rate"),
         *[F.col(f"le_{i}") for i in range(len(bounds))],
-        M.quantile_from_buckets(0.95, bounds).alias("p95"),
+        M.quantile_from_buckets(0.95, bounds).alias("p95"), "p95_value",
     )
 
 
@@ -61,6 +64,35 @@ def drift_windows(vectors: DataFrame, center: list[float], window: str = "1 hour
     ).select("w.start", "w.end", "sample_size", "mean_cosine_distance", "distance_min", "distance_max")
 
 
+def drift_ks_windows(
+    vectors: DataFrame, baseline: DataFrame, window: str = "1 hour", late: str = "10 minutes", cells: int = 64,
+    threshold: float = K.DRIFT_THRESHOLD, digits: int | None = None,
+) -> DataFrame:
+    """Drift against a fixed baseline per event-time window, the Kolmogorov-Smirnov test included.
+
+    The baseline's distances are cut into ``cells`` at their quantiles once; a window's state is one counter a cut. The
+    statistic lies between ``ks_low`` and ``ks_high``, which differ by no more than what either sample has in one cell,
+    and the p-value between those of the two. ``drift_detected`` is decided by ``ks_low``: it is never set by the test alone
+    unless the exact test sets it. Rows later than ``late`` behind the newest are left out, others are counted.
+    """
+    centers = M.centroid(baseline)
+    center = centers.first().centroid
+    distance = M.cosine_distance(F.col("embedding"), F.lit(center))
+    distance = distance if digits is None else F.round(distance, digits)
+    cuts, shares, n = M.baseline_cells(baseline.select(distance.alias("distance")), "distance", cells)
+    timed = vectors.withColumn("distance", distance).withWatermark("ts", late)
+    counted = timed.groupBy(F.window("ts", window).alias("w")).agg(
+        F.count("distance").alias("sample_size"), F.avg("distance").alias("mean_cosine_distance"),
+        *[F.count_if(F.col("distance") <= c).alias(f"c{i}") for i, c in enumerate(cuts)],
+    ).filter("sample_size > 0")
+    low, high = M.ks_bounds([F.col(f"c{i}") for i in range(len(cuts))], F.col("sample_size"), shares)
+    rows = counted.select("w.start", "w.end", "sample_size", "mean_cosine_distance", low.alias("ks_low"), high.alias("ks_high"))
+    size = F.lit(n)
+    rows = rows.withColumns({f"ks_p_{a}": M.ks_probability(F.col(f"ks_{b}"), F.col("sample_size"), size) for a, b in (("high", "low"), ("low", "high"))})
+    mean = F.col("mean_cosine_distance")
+    return rows.withColumn("drift_detected", (mean > threshold) | ((F.col("ks_p_high") < K.DRIFT_P) & (mean > K.DRIFT_MEAN)))
+
+
 def drift_batches(vectors: DataFrame, baseline: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Full drift report, with the KS test, per micro-batch; one folder per batch id."""
     def apply(batch: DataFrame, batch_id: int) -> None:

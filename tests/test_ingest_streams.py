@@ -1,9 +1,12 @@
 import datetime as dt
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import chunks as C
+from lexmill.operators import monitor as M
 from lexmill.plans import ingest as I
 from lexmill.streaming import streams as Z
 
@@ -80,3 +83,29 @@ def test_screening(spark):
     assert got[0].question == "mail [EMAIL_REDACTED]" and got[0].pii_redacted and got[1].intent == "greeting"
     with pytest.raises(Exception):
         Z.screen_stream(spark.createDataFrame([(1,)], "x int")).collect()
+
+
+def test_stream_ks_bounds_hold_the_exact_statistic(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    start = dt.datetime(2024, 1, 1)
+    base = [([float(x) for x in rng.normal(size=6)],) for _ in range(400)]
+    moved = [(start + dt.timedelta(minutes=3 * i), [float(x) for x in rng.normal(size=6) + i / 60]) for i in range(160)]
+    late = [(start + dt.timedelta(minutes=4), [float(x) for x in rng.normal(size=6)])]  # far behind the newest when it comes
+    baseline = spark.createDataFrame(base, "embedding array<double>")
+    for name, rows in (("a", moved[:100]), ("b", late), ("c", moved[100:])):
+        spark.createDataFrame(rows, "ts timestamp, embedding array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema("ts timestamp, embedding array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = Z.drain(Z.drift_ks_windows(stream, baseline, cells=16), str(tmp_path / "o"), str(tmp_path / "c")).orderBy("start").collect()
+    center = M.centroid(baseline).first().centroid
+    distance = lambda x: 1 - np.dot(x, center) / np.linalg.norm(x)
+    b = np.sort([distance(x) for (x,) in base])
+    assert len(got) > 5 and sum(r.sample_size for r in got) % 20 == 0  # the late row is in no window
+    for r in got:
+        w = np.sort([distance(x) for t, x in moved if r.start <= t < r.end])
+        at = np.concatenate([b, w])
+        exact = np.abs(np.searchsorted(w, at, "right") / len(w) - np.searchsorted(b, at, "right") / len(b)).max()
+        assert r.sample_size == len(w) and r.ks_low - 1e-9 <= exact <= r.ks_high + 1e-9
+        in_cell = np.diff([0, *[(w <= c).sum() / len(w) for c in np.quantile(b, np.arange(1, 16) / 16, method="inverted_cdf")], 1]).max()
+        assert r.ks_high - r.ks_low <= max(in_cell, 1 / 16) + 1e-6 and r.ks_p_low <= r.ks_p_high
+    assert got[-1].drift_detected and not got[0].drift_detected
