@@ -196,3 +196,29 @@ def answer_log(spark, sf):
     return log.select(
         "query_id", "answer", F.array_join(F.transform("hits", lambda h: h["chunk_id"]), ",").alias("chunks"), "total_tokens", "intent"
     )
+
+
+@query(
+    "empty_retrieval",
+    f"""WITH {S.HYBRID_BASE} SELECT query_id, query_id % 3 = 0 AS empty, CASE WHEN query_id % 3 = 0 THEN 'guardrail-fallback' ELSE 'extractive' END AS chat_model_id,
+      CASE WHEN query_id % 3 = 0 THEN 0 ELSE 80 END::BIGINT AS total_tokens,
+      CASE WHEN query_id % 3 = 0 THEN CASE WHEN {S.is_arabic('question')} THEN {L(K.REFUSAL_AR)} ELSE {L(K.REFUSAL_EN)} END END AS refusal,
+      CASE WHEN query_id % 3 = 0 THEN 0 ELSE -1 END::INTEGER AS n_citations, query_id % 3 = 0 AS is_grounded,
+      CASE WHEN query_id % 3 = 0 THEN 'Refused due to empty retrieval context' END AS reason FROM queries""",
+)
+def empty_retrieval(spark, sf):
+    """Every third question asks in a book there is not: it is refused without citations or usage."""
+    none = F.lit(None)
+    override = F.struct(
+        F.when(F.col("query_id") % 3 == 0, "no such book").alias("book"), none.cast("string").alias("chapter"), none.cast("string").alias("section"),
+        F.lit(False).alias("exclude_repealed"), none.cast("array<int>").alias("article_numbers"),
+    )
+    asked = X.article_questions(spark, sf).withColumn("filter_override", override)
+    chunks = stored_chunks(spark, sf)
+    log = P.answer_log(asked, LexicalIndex.build(chunks), chunks, chunks, synonyms=[], exact=False)
+    none = F.size("hits") == 0
+    only = lambda c: F.when(none, c)
+    return log.select(
+        "query_id", none.alias("empty"), "chat_model_id", "total_tokens", only(F.col("answer")).alias("refusal"), F.when(none, F.size("citations")).otherwise(-1).alias("n_citations"),
+        (none & F.col("grounding.is_grounded")).alias("is_grounded"), only(F.col("grounding.reason")).alias("reason"),
+    )

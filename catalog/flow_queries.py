@@ -1,6 +1,7 @@
 """Sources, sinks, ingest and streaming queries."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from catalog import sqlparts as S
 from catalog.monitor_queries import REPORT, REQ, rounded_report, run_leaderboard
 from catalog.monitor_queries import ORACLES_RUNS as RUNS
 from catalog.monitor_queries import drift_report as drift_rows
-from catalog.registry import query, table
+from catalog.registry import ORACLES, query, table
 from catalog.text_queries import TALK, _starts, small_talk_column
 from catalog.answer_queries import TOKENS, token_events
 from lexmill import constants as K
@@ -18,7 +19,7 @@ from lexmill.operators import monitor as M
 from lexmill.functions import text as T
 from lexmill.operators import quality as Q
 from lexmill.plans import ingest as I
-from lexmill.session import staging_root
+from lexmill.session import stage, staging_root
 from lexmill.sources import readers as R
 from lexmill.sources import sinks as W
 from lexmill.streaming import streams as Z
@@ -111,6 +112,31 @@ def comparison_report_lines(spark, sf):
     return W.comparison_lines(run_leaderboard(spark, sf), ["chunk_strategy", "top_k"], ["composite_score"])
 
 
+LINES = ORACLES["evaluation_report_lines"]
+
+
+@query(
+    "report_roundtrip",
+    f"""WITH said AS ({LINES}) SELECT folder, line_no, line FROM said, (SELECT unnest(['live', 'mock']) AS folder)
+    UNION ALL SELECT 'rows', ordinal::INTEGER, line FROM ({ORACLES["comparison_report_lines"]})""",
+)
+def report_roundtrip(spark, sf):
+    """Reports written, replaced, and read again: a report's lines, those of a placeholder run, and report rows."""
+    path = fresh(spark, "report")
+    lines = stage(evaluation_report_lines(spark, sf), "report-lines")
+    W.write_lines(lines.withColumn("line", F.lit("an older report")), path, ["line_no"])
+    W.write_lines(lines, path, ["line_no"], is_mock=True)
+    W.write_lines(lines, path, ["line_no"])
+    W.write_report_rows(comparison_report_lines(spark, sf), f"{path}/rows")
+
+    def read(folder: str, name: str):
+        rows = spark.read.text(f"{folder}/*.txt").coalesce(1).select(F.monotonically_increasing_id().cast("int").alias("line_no"), F.col("value").alias("line"))
+        return rows.select(F.lit(name).alias("folder"), "line_no", "line")
+
+    rows = spark.read.json(f"{path}/rows").select(F.lit("rows").alias("folder"), F.col("ordinal").cast("int").alias("line_no"), "line")
+    return read(path, "live").union(read(f"{path}/mock", "mock")).union(rows)
+
+
 @query("drift_report_lines")
 def drift_report_lines(spark, sf):
     return W.drift_lines(drift_rows(spark, sf))
@@ -151,6 +177,32 @@ def reindex_amendments(spark, sf):
     return C.read_vectors(spark, store, "hash", 16, "base").select("chunk_id", "article_number", "version", "text_en")
 
 
+@query("article_json_array", ORACLES["article_json_roundtrip"])
+def article_json_array(spark, sf):
+    """The articles as one JSON array in one file, read by record in several splits."""
+    path = fresh(spark, "array")
+    rows = X.articles(spark, sf)
+    text = F.to_json(F.struct(*rows.columns), {"pretty": "true"})
+    lines = rows.select("article_number", F.concat(F.when(F.col("article_number") == rows.agg(F.min("article_number")).scalar(), "[").otherwise(","), text).alias("value"))
+    closed = lines.union(spark.createDataFrame([(1 << 30, "]")], "article_number int, value string"))
+    closed.repartitionByRange(1, "article_number").sortWithinPartitions("article_number").select("value").write.text(path)
+    with split_size(spark, "1m"):
+        read = stage(R.read_articles(spark, path), "array-articles")
+    return read.withColumn("refs", F.array_join("references", ",")).drop("references")
+
+
+@contextmanager
+def split_size(spark, size: str):
+    """Splits of a size for what is read inside."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @query("stream_reindex", AMENDED)
 def stream_reindex(spark, sf):
     store, embed, inbox = fresh(spark, "vectors"), I.hash_embedder(16), fresh(spark, "inbox")

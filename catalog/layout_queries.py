@@ -1,14 +1,17 @@
 """Layout queries over positioned spans derived from the documents."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import sqlparts as S
 from catalog.fixtures import arabize
-from catalog.registry import query, table
+from catalog.registry import ORACLES, query, table
 from lexmill import constants as K
 from lexmill.operators import layout as L
 from lexmill.plans.corpus import articles_from_spans
-from lexmill.session import stage
+from lexmill.session import stage, staging_root
+from lexmill.sources.readers import read_layout_spans
 
 HEADING_TEXTS = ["BOOK II", "FIRST PART", "CHAPTER IV", "Section I", "3. Topic words"]
 
@@ -223,3 +226,11 @@ MARK = rf"[(\[][{K.WS}]*[٢2][{K.WS}]*[()\]]"
 )
 def corpus_from_layout(spark, sf):
     return _flat(articles_from_spans(layout_spans(spark, sf), RANGES, [1, 4]))
+
+
+@query("corpus_from_stored_spans", ORACLES["corpus_from_layout"])
+def corpus_from_stored_spans(spark, sf):
+    """The same corpus from spans that were written and are read with their schema."""
+    path = f"{staging_root(spark)}/spans-{uuid.uuid4().hex}"
+    layout_spans(spark, sf).write.parquet(path)
+    return _flat(articles_from_spans(read_layout_spans(spark, path), RANGES, [1, 4]))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as X
 from catalog import sqlparts as S
-from catalog.registry import query, table
+from catalog.registry import ORACLES, query, table
 from lexmill import constants as K
 from lexmill.operators import quality as Q
 
@@ -64,6 +64,26 @@ def corpus_violations(spark, sf):
     return Q.violations(X.faulty_articles(spark, sf))
 
 
+@query(
+    "corpus_assertion",
+    f"""WITH found AS ({ORACLES["corpus_violations"]}), r AS (SELECT message, row_number() OVER (ORDER BY article_number, rule, message) AS k, count(*) OVER () AS n FROM found)
+    SELECT 'faulty' AS corpus, 'Corpus validation failed with ' || max(n) || ' error(s):' || chr(10) || string_agg(' - ' || message, chr(10) ORDER BY k) FILTER (k <= 20)
+      || chr(10) || ' ... and ' || (max(n) - 20) || ' more' AS message FROM r
+    UNION ALL SELECT 'empty', 'Corpus validation failed with ' || (1 + 1149) || ' error(s):' || chr(10) || ' - Corpus is empty: 0 articles found.' || chr(10)
+      || (SELECT string_agg(' - Missing article number: ' || i, chr(10) ORDER BY i) FROM range(1, 20) t(i)) || chr(10) || ' ... and 1130 more'""",
+)
+def corpus_assertion(spark, sf):
+    """What the assertion says of a faulty corpus and of one without articles."""
+    faulty = X.faulty_articles(spark, sf)
+    said = []
+    for name, corpus in (("faulty", faulty), ("empty", faulty.filter("article_number < 0"))):
+        try:
+            Q.assert_valid(corpus)
+        except Q.CorpusValidationError as e:
+            said.append((name, str(e)))
+    return spark.createDataFrame(said, "corpus string, message string")
+
+
 COUNTS = "count(*) AS total_articles, count_if(NOT is_repealed)::BIGINT AS active_articles, count_if(is_repealed)::BIGINT AS repealed_articles"
 
 

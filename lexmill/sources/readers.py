@@ -1,26 +1,85 @@
 """Typed readers. Schemas are explicit and malformed input fails the job."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexmill.schemas import ARTICLE, EVAL_QUESTION, LAYOUT_SPAN
+from lexmill.session import broadcast_if_small, stage
 
 FILE_ORDER = ["file_path", "block_start", "line_pos"]
 
 
 def read_articles(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Article rows from ``json`` files (one array or object each), ``jsonl`` or ``parquet``.
+    """Article rows from ``json`` files (arrays or objects), ``jsonl`` or ``parquet``.
 
-    A JSON array is one parse unit, so parallelism comes from many files; corpora of volume
-    belong in ``jsonl`` or ``parquet``, which split.
+    A JSON file is cut at the ends of its records, so one large array is read by as many tasks as its size gives.
     """
     if fmt == "parquet":
         rows = spark.read.schema(ARTICLE).parquet(path)
+    elif fmt == "json":
+        rows = read_json_records(spark, path, ARTICLE)
     else:
-        rows = spark.read.schema(ARTICLE).option("mode", "FAILFAST").option("multiLine", fmt == "json").json(path)
+        rows = spark.read.schema(ARTICLE).option("mode", "FAILFAST").json(path)
     return fill_articles(rows)
 
 
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """``record`` (text), ``file_path`` and ``place`` of every outermost object in files of JSON arrays or objects.
+
+    The files are read in pieces that end with a closing brace, wherever a split falls. Whether a piece starts inside
+    a string follows from the quotes before it, whether its brace closes a record from the braces before it that are
+    outside of strings: sums over the pieces of a split, shifted by the sums of the splits before. A file that ends inside
+    a record, or has text between records, fails the job.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("pos"),
+    )
+    # an escape never spans two pieces; without escapes every quote opens or closes a string
+    plain = F.regexp_replace("value", r"\\.", "")
+    pieces = pieces.withColumn("plain", plain).withColumn("quotes", F.length("plain") - F.length(F.replace("plain", F.lit('"'))))
+    splits = ["file_path", "block"]
+    run = Window.partitionBy(*splits).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+
+    def shifted(rows: DataFrame, count: str) -> DataFrame:
+        """``rows`` with the sum of ``count`` over all earlier pieces of the file as ``_before``."""
+        totals = rows.groupBy(*splits).agg(F.sum(count).alias("_t"))
+        totals = totals.select(*splits, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_shift"))
+        out = rows.withColumn("_run", F.coalesce(F.sum(count).over(run), F.lit(0))).join(broadcast_if_small(totals), splits)
+        return out.withColumn("_before", F.col("_run") + F.col("_shift")).drop("_run", "_shift")
+
+    rows = stage(shifted(pieces, "quotes"), "json-pieces")
+    inside = F.col("_before") % 2 == 1
+    bare = F.regexp_replace(F.when(inside, F.regexp_replace("plain", r'^[^"]*("|$)', "")).otherwise(F.col("plain")), r'"[^"]*("|$)', '""')
+    opens = F.length(bare) - F.length(F.replace(bare, F.lit("{")))
+    closes = ((F.col("_before") + F.col("quotes")) % 2 == 0).cast("int")
+    rows = rows.withColumns({"bare": bare, "opens": opens, "closes": closes}).drop("plain", "quotes", "_before")
+    rows = stage(shifted(rows.withColumn("change", F.col("opens") - F.col("closes")), "change"), "json-depths")
+    rows = rows.withColumns({"ends": ((F.col("closes") == 1) & (F.col("_before") + F.col("change") == 0)).cast("int"), "depth": F.col("_before")}).drop("_before")
+    rows = shifted(rows, "ends").withColumnRenamed("_before", "place")
+    found = rows.groupBy("file_path", "place").agg(
+        F.array_sort(F.collect_list(F.struct("block", "pos", "value", "bare"))).alias("parts"), F.max("ends").alias("ends"), F.max(F.struct("block", "pos")).alias("end")
+    )
+    # the last piece of a file has no brace behind it: what it leaves must be the end of the array alone
+    joined = F.array_join(F.transform("parts", lambda p: p["value"]), "}")
+    rest = F.array_join(F.transform("parts", lambda p: p["bare"]), "}")
+    cut_off = F.col("_open") & (F.col("end") == F.col("_last"))
+    complete = ~cut_off & (F.col("ends") == 1) & rest.rlike(r"^[\s,\[]*\{") & (F.col("place") < F.col("_records"))
+    files = rows.groupBy("file_path").agg(F.sum("ends").alias("_records"), (F.sum(F.octet_length("value") + 1) > F.max("size")).alias("_open"), F.max(F.struct("block", "pos")).alias("_last"))
+    found = found.join(broadcast_if_small(files), "file_path")
+    last = (F.col("place") == F.col("_records")) | (cut_off & (F.col("ends") == 1))
+    record = F.when(complete, F.concat(F.regexp_replace(joined, r"^[\s,\[]*", ""), F.lit("}")))
+    record = record.when(last & rest.rlike(r"^[\s\]\[]*$"), F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("not a whole JSON record in "), "file_path")))
+    return found.select("file_path", "place", record.alias("record")).filter("record IS NOT NULL")
+
+
+def read_json_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Typed rows of files of JSON arrays or objects, read by split; a malformed record fails the job."""
+    return json_records(spark, path).select(F.from_json("record", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def fill_articles(rows: DataFrame) -> DataFrame:
     """Defaults of optional fields."""
     none = F.array().cast("array<int>")
