@@ -3,14 +3,14 @@
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lexmill import constants as K
 from lexmill.functions import text as X
 from lexmill.operators import monitor as M
 from lexmill.plans.answering import screen
 from lexmill.plans.ingest import Embedder, reindex
+from lexmill.session import ship_package
 
 
 def reindex_stream(
@@ -102,40 +102,73 @@ def drift_batches(vectors: DataFrame, baseline: DataFrame, out: str, checkpoint:
 
 
 ANSWER_SCHEMA = "trace_id string, answer string, n_tokens long, closed_by string"
-STATE_SCHEMA = "seqs array<int>, tokens array<string>, done boolean"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def assemble_answers(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
-    """Answers from token events ``(trace_id, seq, ts, event, data)``.
+class AnswerAssembly(StatefulProcessor):
+    """Tokens of open traces by sequence number, and when a trace closes by itself.
 
-    A trace closes on its ``done`` event, or when the watermark passes its last token by the idle
-    time. State is the open traces' tokens.
+    A batch writes the tokens it brings and one deadline a trace; what came before is not written again.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key, frames, state: GroupState):
-        seqs, tokens, done = state.get if state.exists else ([], [], False)
-        seqs, tokens, last = list(seqs), list(tokens), 0
-        for frame in frames:
-            if frame.empty:  # a timeout call carries no rows
-                continue
+
+    def __init__(self, idle_ms: int, longest_ms: int | None):
+        self.idle_ms, self.longest_ms = idle_ms, longest_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tokens = handle.getMapState("tokens", "seq int", "data string")
+        self.times = handle.getValueState("times", "opened long, deadline long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        done, opened, last = False, None, 0
+        for frame in rows:
             part = frame[frame["event"] == "token"]
-            seqs += [int(s) for s in part["seq"]]
-            tokens += list(part["data"])
+            for seq, data in zip(part["seq"], part["data"], strict=True):
+                self.tokens.updateValue((int(seq),), (data,))
             done = done or bool((frame["event"] == "done").any())
+            opened = min(x for x in (opened, int(frame["ts"].min().timestamp() * 1000)) if x is not None)
             last = max(last, int(frame["ts"].max().timestamp() * 1000))
-        if done or state.hasTimedOut:
-            state.remove()
-            text = "".join(t for _, t in sorted(zip(seqs, tokens)))
-            yield pd.DataFrame(
-                {"trace_id": [key[0]], "answer": [text], "n_tokens": [len(tokens)], "closed_by": ["done" if done else "timeout"]}
-            )
+        if done:
+            yield self._closed(key, "done")
             return
-        state.update((seqs, tokens, done))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        known = self.times.get() if self.times.exists() else None
+        opened = min(opened, known[0]) if known else opened
+        deadline = max(last, timerValues.getCurrentWatermarkInMs(), known[1] - self.idle_ms if known else 0) + self.idle_ms
+        if self.longest_ms is not None:
+            deadline = min(deadline, opened + self.longest_ms)
+        if known is None or known[1] != deadline:
+            if known:
+                self.handle.deleteTimer(known[1])
+            self.handle.registerTimer(deadline)
+        self.times.update((opened, deadline))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._closed(key, "timeout")
+
+    def _closed(self, key, by: str) -> pd.DataFrame:
+        tokens = sorted((k[0], v[0]) for k, v in self.tokens.iterator())
+        if self.times.exists():
+            self.handle.deleteTimer(self.times.get()[1])
+        self.tokens.clear()
+        self.times.clear()
+        return pd.DataFrame({"trace_id": [key[0]], "answer": ["".join(t for _, t in tokens)], "n_tokens": [len(tokens)], "closed_by": [by]})
+
+    def close(self) -> None:
+        pass
+
+
+def assemble_answers(events: DataFrame, idle: str = "10 minutes", longest: str | None = None) -> DataFrame:
+    """Answers from token events ``(trace_id, seq, ts, event, data)``.
 
-    return events.withWatermark("ts", idle).groupBy("trace_id").applyInPandasWithState(
-        step, ANSWER_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
+    A trace closes on its ``done`` event, or when the watermark passes its last token by the idle time or, with
+    ``longest``, its first one by that time. State is the open traces' tokens, kept by sequence number: a token that
+    comes again takes its own place. The state store must be RocksDB; the session is set to it.
+    """
+    ms = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)
+    ship_package(events.sparkSession)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return events.withWatermark("ts", idle).groupBy("trace_id").transformWithStateInPandas(
+        AnswerAssembly(ms(idle), ms(longest) if longest else None), outputStructType=ANSWER_SCHEMA, outputMode="append", timeMode="eventTime"
     )
 
 

@@ -109,3 +109,29 @@ def test_stream_ks_bounds_hold_the_exact_statistic(spark, tmp_path):
         in_cell = np.diff([0, *[(w <= c).sum() / len(w) for c in np.quantile(b, np.arange(1, 16) / 16, method="inverted_cdf")], 1]).max()
         assert r.ks_high - r.ks_low <= max(in_cell, 1 / 16) + 1e-6 and r.ks_p_low <= r.ks_p_high
     assert got[-1].drift_detected and not got[0].drift_detected
+
+
+def test_stream_answers_grow_over_batches(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda minutes: t0 + dt.timedelta(minutes=minutes)
+    schema = "trace_id string, seq int, ts timestamp, event string, data string"
+    batches = [
+        [("a", 2, at(0), "token", "b"), ("slow", 1, at(0), "token", "0")],
+        [("a", 1, at(1), "token", "a"), ("a", 2, at(1), "token", "b"), ("slow", 2, at(8), "token", "1")],
+        [("a", 3, at(9), "token", "c"), ("slow", 3, at(16), "token", "2")],
+        [("a", 4, at(12), "done", "{}"), ("slow", 4, at(24), "token", "3")],
+        [("slow", 5, at(32), "token", "4"), ("z", 1, at(60), "done", "{}")],
+        [("z", 1, at(90), "done", "{}")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in the order of their times
+
+    def answers(name, **options):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        rows = Z.drain(Z.assemble_answers(stream, **options), str(tmp_path / f"{name}-o"), str(tmp_path / f"{name}-c")).collect()
+        return {(r.trace_id, r.answer, r.n_tokens, r.closed_by) for r in rows if r.trace_id != "z"}
+
+    assert answers("idle") == {("a", "abc", 3, "done"), ("slow", "01234", 5, "timeout")}
+    first = [x for x in answers("limit", longest="1 minute") if x[0] == "slow"]
+    assert len(first) > 1 and "".join(sorted(x[1] for x in first)) == "01234" and {x[3] for x in first} == {"timeout"}
