@@ -382,3 +382,52 @@ def bm25_quality(spark, sf):
         F.count("*").alias("questions"),
         *[F.round(F.avg(c), 6).alias(c) for c in ("hit_rate", "mrr", "context_recall", "context_precision")],
     )
+
+
+GRID = [(d, w, k, m, r) for d, w in ((0.7, 0.3), (0.2, 0.8)) for k in (3, 8) for m, r in ((0.0, False), (0.0115, False), (0.0, True))]
+
+
+def _grid_sql() -> str:
+    """Each cell searched and ranked on its own: the branches are those of the hybrid search, the rest is said again per cell."""
+    base = S.hybrid(5, 24).split("fused0 AS")[0].rstrip().rstrip(",")
+    exact = S.hybrid(5, 24)[S.hybrid(5, 24).index("exact AS (") :].split("allc AS")[0].rstrip().rstrip(",")
+    out = []
+    for n, (d, w, k, least, again) in enumerate(GRID):
+        depth = max(3 * k, 20)
+        score = "CASE WHEN m > 1 THEN ns ELSE score END" if again else "score"
+        order = f"CASE WHEN m > 1 THEN {score} ELSE 0 END DESC, place" if again else "place"
+        keep = f"(score >= {least} OR tier = 0)" if least else "true"
+        out.append(f"""SELECT {n} AS ordinal, query_id, article_number, chunk_id, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank FROM (
+              SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, erank, score DESC, dr NULLS LAST, br NULLS LAST) AS place, count(*) OVER (PARTITION BY query_id) AS m FROM (
+                SELECT query_id, chunk_id, any_value(article_number) AS article_number, min(CASE WHEN kind = 'e' THEN 0 ELSE 1 END) AS tier, min(CASE WHEN kind = 'e' THEN rank END) AS erank,
+                  min(CASE WHEN kind = 'd' THEN rank END) AS dr, min(CASE WHEN kind = 'b' THEN rank END) AS br,
+                  CASE WHEN min(CASE WHEN kind = 'e' THEN 0 ELSE 1 END) = 0 THEN 1.0::DOUBLE
+                    ELSE round(coalesce(sum(CASE kind WHEN 'd' THEN {d}::DOUBLE / (60 + rank) WHEN 'b' THEN {w}::DOUBLE / (60 + rank) END), 0), 9) END AS score
+                FROM ranks WHERE kind = 'e' OR rank <= {depth} GROUP BY query_id, chunk_id) LEFT JOIN overlap USING (query_id, chunk_id))) WHERE rank <= {k} AND {keep}""")
+    return f"""WITH {S.HYBRID_BASE}, {base}, {exact}, {S.TRUTH},
+    ranks AS MATERIALIZED (SELECT query_id, chunk_id, article_number, rank, 'd' AS kind FROM dense UNION ALL SELECT query_id, chunk_id, article_number, rank, 'b' FROM bm25
+      UNION ALL SELECT query_id, chunk_id, article_number, rank, 'e' FROM exact),
+    ct AS (SELECT chunk_id, list(DISTINCT term) AS terms FROM tf GROUP BY 1), qd AS (SELECT query_id, list(DISTINCT term) AS terms FROM qt GROUP BY 1),
+    overlap AS (SELECT r.query_id, r.chunk_id, round(coalesce(len(list_intersect(any_value(qd.terms), any_value(ct.terms)))::DOUBLE / len(any_value(qd.terms)), 0), 6) AS ns
+      FROM ranks r LEFT JOIN ct USING (chunk_id) LEFT JOIN qd USING (query_id) GROUP BY ALL),
+    got AS ({" UNION ALL ".join(out)}),
+    t AS (SELECT query_id, count(*) AS n FROM truth GROUP BY 1),
+    h AS (SELECT ordinal, g.query_id, count(*) AS got, min(CASE WHEN x.article_number IS NOT NULL THEN rank END) AS first, count(DISTINCT x.article_number) AS hits
+      FROM got g LEFT JOIN truth x ON x.query_id = g.query_id AND x.article_number = g.article_number GROUP BY ALL),
+    mm AS (SELECT o.ordinal, q.query_id, coalesce(n, 0) AS n, coalesce(got, 0) AS got, first, coalesce(hits, 0) AS hits
+      FROM queries q CROSS JOIN (SELECT range::INTEGER AS ordinal FROM range({len(GRID)})) o LEFT JOIN t ON t.query_id = q.query_id LEFT JOIN h ON h.query_id = q.query_id AND h.ordinal = o.ordinal)
+    SELECT ordinal, round(avg(CASE WHEN n = 0 THEN (got = 0)::INT::DOUBLE ELSE (first IS NOT NULL)::INT::DOUBLE END), 6) AS hit_rate,
+      round(avg(CASE WHEN n = 0 THEN (got = 0)::INT::DOUBLE ELSE coalesce(1.0::DOUBLE / first, 0) END), 6) AS mrr,
+      round(avg(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE hits::DOUBLE / n END), 6) AS context_recall,
+      round(avg(CASE WHEN n = 0 THEN (got = 0)::INT::DOUBLE WHEN got = 0 THEN 0.0::DOUBLE ELSE hits::DOUBLE / got END), 6) AS context_precision FROM mm GROUP BY ordinal"""
+
+
+@query("sweep_hybrid", _grid_sql())
+def sweep_hybrid(spark, sf):
+    """Weights, depths, least scores and re-scoring of a hybrid search, from one search of each branch."""
+    from lexmill.plans.sweep import Cell, hybrid_sweep
+
+    cells = [Cell(d, w, k, m, r) for d, w, k, m, r in GRID]
+    runs = hybrid_sweep(X.article_questions(spark, sf), X.truth(spark, sf), {"article": stored_chunks(spark, sf)}, cells, synonyms=[])
+    return runs.select("ordinal", *[F.round(c, 6).alias(c) for c in ("hit_rate", "mrr", "context_recall", "context_precision")])

@@ -94,3 +94,23 @@ def test_a_question_without_a_fitting_vector_is_ranked_by_words(spark, articles)
     filled = retrieve(asked, index, I.VectorIndex.build(chunks), embed_questions=embed).collect()
     assert [r.chunk_id for r in filled if r.query_id == 3] == [r.chunk_id for r in filled if r.query_id == 1] != []
     assert {r.query_id for r in retrieve(words, index, chunks, embed_questions=embed).collect()} == {1, 2, 3}
+
+
+def test_a_cell_of_the_grid_is_a_retrieval(spark, articles):
+    from lexmill.operators import chunks as C
+    from lexmill.operators import fusion as U
+    from lexmill.operators.evaluate import retrieval_metrics
+    from lexmill.plans.sweep import Cell, hybrid_sweep
+
+    chunks = C.embed_by_hash(C.chunk_articles(articles, "article"), 8)
+    asked = spark.createDataFrame([(1, "تنفيذ العقد"), (2, "Article 148 good faith"), (3, "المادة 54"), (4, "شريعة المتعاقدين")], "query_id int, question string")
+    asked = asked.withColumn("embedding", F.array(*[F.lit(0.1 * i) + F.col("query_id") % 3 for i in range(8)]))
+    truth = spark.createDataFrame([(1, 148), (2, 148), (3, 54), (4, 147)], "query_id int, article_number int")
+    cells = [Cell(top_k=1), Cell(0.1, 0.9, 2), Cell(top_k=2, min_score=0.016), Cell(top_k=2, rerank=True)]
+    runs = hybrid_sweep(asked, truth, {"article": chunks}, cells).orderBy("ordinal").collect()
+    index, texts = LexicalIndex.build(chunks), chunks.select("chunk_id", F.col("text_ar_normalized").alias("text"))
+    for run, c in zip(runs, cells, strict=True):
+        scorer = U.overlap_scorer if c.rerank else None
+        hits = retrieve(asked, index, chunks, c.top_k, c.dense_weight, c.lexical_weight, min_score=c.min_score, scorer=scorer, texts=texts)
+        row = retrieval_metrics(asked, hits, truth).agg(*[F.avg(m) for m in ("hit_rate", "mrr", "context_recall", "context_precision")]).first()
+        assert [round(x, 9) for x in row] == [round(run[m], 9) for m in ("hit_rate", "mrr", "context_recall", "context_precision")]
