@@ -50,11 +50,12 @@ PRUNED_FROM = 1_000_000
 def placed_table(df: DataFrame, path: str, buckets: int, order: list[str], write: bool = True) -> DataFrame:
     """A stored table that knows its place: rows of a chunk are in one bucket, so sums by chunk need no exchange.
 
+    ``df`` should be in ``buckets`` partitions by chunk already, as ``postings`` leaves it, or a bucket has several files.
     The files are an external table of the session's catalog under a name of their own; ``write`` off only names them.
     """
     spark, name = df.sparkSession, f"lexmill_placed_{uuid.uuid4().hex}"
     if write:
-        rows = df.repartition(buckets, "chunk_id").write.bucketBy(buckets, "chunk_id").sortBy(*order)
+        rows = df.write.bucketBy(buckets, "chunk_id").sortBy(*order)
         rows.mode("overwrite").option("path", path).saveAsTable(name)
         spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}-layout")
         df.limit(0).write.mode("overwrite").parquet(f"{path}-shape")  # a table without rows has no file that tells its columns

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import chunks as C
-from lexmill.operators.lexical import LexicalIndex
+from lexmill.operators.lexical import LexicalIndex, postings
 from lexmill.operators.segments import SegmentedIndex
 from lexmill.plans import ingest as I
 
@@ -40,6 +40,14 @@ def test_one_exchange_between_postings_and_result(spark, questions):
     assert hits(index, questions) == hits(again, questions)
 
 
+def test_postings_are_written_where_their_text_was_placed(spark, tmp_path):
+    index = LexicalIndex.build(corpus(spark, {i: words_of(i) for i in range(300)}), path=str(tmp_path / "i"), buckets=4)
+    files = [f for f in (tmp_path / "i" / "postings").iterdir() if f.suffix == ".parquet"]
+    assert len(files) == 4 and index.postings.filter("range <> pmod(hash(chunk_id), 4)").isEmpty()  # one shuffle, one file a bucket
+    plan = postings(corpus(spark, {1: "a b"}), buckets=4)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Exchange hashpartitioning", plan)) == 1
+
+
 def test_a_stored_index_is_searched_alike(spark, questions, tmp_path):
     chunks = corpus(spark, {i: words_of(i) for i in range(120)})
     built = LexicalIndex.build(chunks, path=str(tmp_path / "i"), buckets=4, pruned=True)
