@@ -1,11 +1,13 @@
 """JSON arrays cut at the ends of their records."""
 
 import json
+import pathlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.session import staging_root
 from lexmill.sources import readers as R
 
 BITS = ["}", "{", '"', "\\", "\n", ",", "[", "]", "é", "𝄞", '\\"', "plain words ", "\\}", '{"a": 1}', "\t"]
@@ -55,3 +57,15 @@ def test_an_array_of_articles_equals_its_lines(spark, small_splits, articles, tm
     (tmp_path / "array" / "y.json").write_text('[{"article_number": "no number"}]')
     with pytest.raises(Exception):
         R.read_articles(spark, str(tmp_path / "array")).collect()
+
+
+def test_texts_are_not_stored_to_find_records(spark, small_splits, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [{"i": k, "t": "".join(random.Random(k).choices("abcdefghij {}", k=700))} for k in range(60)]
+    (tmp_path / "in" / "a.json").write_text("[\n" + ",\n".join(map(json.dumps, rows)) + "]", encoding="utf-8-sig")
+    root = pathlib.Path(staging_root(spark))
+    before = set(root.iterdir())
+    found = R.json_records(spark, str(tmp_path / "in")).collect()
+    assert sorted((json.loads(r.record) for r in found), key=lambda x: x["i"]) == rows
+    stored = set(root.iterdir()) - before
+    assert stored and not any("value" in spark.read.parquet(str(f)).columns for f in stored)
