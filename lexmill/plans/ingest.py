@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import chunks as C
 from lexmill.operators.segments import SegmentedIndex
 from lexmill.sources.readers import table_fingerprint
-from lexmill.session import stage
+from lexmill.session import stage, unstage
 
 Embedder = Callable[[DataFrame], DataFrame]
 
@@ -100,6 +100,7 @@ def reindex(
     if lexical is not None:
         lexical.write(rows, writer, replace_by_article).merge()
     counts = rows.agg(F.count_distinct("article_number").alias("a"), F.count("*").alias("c")).first()
+    unstage(rows)
     return {
         "status": "reindexed_successfully", "collection_name": C.collection_name(model_id, dim, corpus_hash),
         "new_articles_count": counts.a, "new_chunks_count": counts.c,

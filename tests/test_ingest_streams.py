@@ -42,6 +42,19 @@ def test_replace_by_article_drops_stale_chunks(spark, articles, tmp_path):
     assert sorted(stored(spark, store)) == ["art_147", "art_148", "art_54"]
 
 
+def test_files_that_lose_no_row_are_not_written_again(spark, tmp_path):
+    path, files = str(tmp_path / "t"), lambda: {str(f) for f in (tmp_path / "t").rglob("*.parquet")}
+    rows = spark.range(0, 40, 1, 1).selectExpr("'m' model_id", "1 dim", "'a:b' corpus_hash", "cast(id as int) article_number", "id point_id", "0L version", "'old' t")
+    C.upsert_vectors(spark, path, rows, buckets=4)
+    first = files()
+    again = rows.filter("point_id = 7").unionByName(rows.filter("point_id = 7")).withColumns({"version": F.lit(1).cast("bigint"), "t": F.lit("new")})
+    C.upsert_vectors(spark, path, again.unionByName(rows.filter("point_id = 7").withColumn("point_id", F.lit(99).cast("bigint"))), buckets=9)
+    found = {r.point_id: (r.version, r.t) for r in spark.read.parquet(path).collect()}
+    assert found == {**{i: (0, "old") for i in range(40)}, 7: (1, "new"), 99: (0, "old")}
+    assert len(first & files()) == len(first) - 1 and spark.read.parquet(path).count() == 41
+    assert [f.name for f in tmp_path.iterdir()] == ["t"] and {r.buckets for r in spark.read.parquet(path).select("buckets").collect()} == {4}
+
+
 def test_latest_wins(spark):
     rows = spark.createDataFrame([(1, 1, "old"), (1, 3, "new"), (1, 2, "mid"), (2, 1, "x")], "point_id long, version long, t string")
     assert {(r.point_id, r.t) for r in C.latest_by_id(rows).collect()} == {(1, "new"), (2, "x")}
