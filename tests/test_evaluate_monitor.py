@@ -115,3 +115,17 @@ def test_cost_and_cohort(spark):
     assert 0.04 < share < 0.06
     forced = keys.select(M.cohort(F.col("k"), F.lit("always")).alias("c")).distinct().collect()
     assert [r.c for r in forced] == ["canary"]
+
+
+def test_runs_share_one_truth(spark):
+    from lexmill.operators.evaluate import retrieval_metrics
+
+    asked = spark.createDataFrame([(r, q) for r in (0, 1) for q in (1, 2)], "run int, query_id int")
+    got = spark.createDataFrame([(0, 1, 1, 7), (0, 1, 2, 8), (1, 1, 1, 8), (1, 2, 1, 9)], "run int, query_id int, rank int, article_number int")
+    truth = spark.createDataFrame([(1, 8)], "query_id int, article_number int")
+    together = retrieval_metrics(asked, got, truth, ["run"])
+    plan = together._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan  # however small its file, the truth is not sent whole to the driver
+    for run in (0, 1):
+        alone = retrieval_metrics(asked.filter(f"run = {run}").drop("run"), got.filter(f"run = {run}").drop("run"), truth)
+        assert sorted(map(tuple, alone.collect())) == sorted(tuple(r)[1:] for r in together.filter(f"run = {run}").collect())
