@@ -258,7 +258,7 @@ def build_articles(
     rows = placed.join(bodies, [DOC, "n"], "left")
     en, ar = strip_markers(X.text_or_empty(F.col("en")), X.text_or_empty(F.col("ar")))
     rows = rows.withColumns({"text_en": en, "_ar": ar}).withColumn("text_ar_raw", X.clean_raw(F.col("_ar")))
-    norm = X.normalize(F.col("text_ar_raw"))
+    rows, norm = rows.withColumn("_norm", X.normalize(F.col("text_ar_raw"))), F.col("_norm")
     return rows.select(
         F.col(DOC).alias("corpus_id"),
         F.col("n").alias("article_number"),
@@ -313,6 +313,8 @@ def split_merged(articles: DataFrame, numbers: list[int] = [1021]) -> DataFrame:
     """Move the text after a "(2)" marker of article n to article n + 1, for the listed numbers."""
     marker = rf"[(\[][{K.WS}]*[٢2][{K.WS}]*[()\]]"
     parts = F.split("text_ar_raw", marker, 2)
+    near = F.coalesce(F.col("article_number").isin(*numbers, *[n + 1 for n in numbers]), F.lit(False))
+    others, articles = articles.filter(~near), articles.filter(near)  # the only ones that can give or get a text
     merged = (
         articles.filter(F.col("article_number").isin(*numbers) & F.col("text_ar_raw").rlike(marker))
         .select("corpus_id", (F.col("article_number") + 1).alias("article_number"), parts.alias("parts"))
@@ -328,9 +330,10 @@ def split_merged(articles: DataFrame, numbers: list[int] = [1021]) -> DataFrame:
         ),
     ).withColumn("patch", X.clean_raw(X.strip(F.col("patch"))))
     patched = articles.join(patches, ["corpus_id", "article_number"], "left")
-    return patched.withColumns(
+    patched = patched.withColumns(
         {
             "text_ar": F.when(F.col("patch").isNotNull(), X.normalize(F.col("patch"))).otherwise(F.col("text_ar")),
             "text_ar_raw": F.coalesce("patch", "text_ar_raw"),
         }
     ).select(*articles.columns)
+    return others.unionByName(patched)
