@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import chunks as C
+from lexmill.operators import lexical
+from lexmill.session import stage
 from lexmill.operators.lexical import LexicalIndex, postings
 from lexmill.operators.segments import SegmentedIndex
 from lexmill.plans import ingest as I
@@ -134,3 +136,13 @@ def test_many_collections_keep_their_own_buckets(spark, tmp_path):
     stored = spark.read.parquet(path)
     assert stored.count() == 30 and {(r.buckets, r.version) for r in stored.collect()} == {(2, 1), (5, 1)}
     assert stored.filter("point_id % 2 = 0").select("buckets").distinct().first()[0] == 2
+
+
+def test_a_bucket_is_bounded_by_the_size_of_the_input(spark, questions, tmp_path, monkeypatch):
+    chunks = stage(corpus(spark, {i: words_of(i) for i in range(120)}), "chunks")
+    want = hits(LexicalIndex.build(chunks, buckets=4), questions)
+    monkeypatch.setattr(lexical, "BUCKET_BYTES", 300)
+    index = LexicalIndex.build(chunks, path=str(tmp_path / "i"), buckets=4, pruned=True)
+    stored = spark.read.parquet(str(tmp_path / "i" / "postings-layout")).first().buckets
+    assert stored > 4 and stored % 4 == 0 and {r.range for r in index.peaks.select("range").collect()} == {0, 1, 2, 3}
+    assert hits(index, questions) == hits(LexicalIndex.load(spark, str(tmp_path / "i")), questions) == want
