@@ -17,19 +17,28 @@ JUDGED = (
 )
 # White space that parts words, and the characters counted as symbols.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SYMBOLS = str.maketrans("", "", "#*$%&|<>")
-UPPER = re.compile(r"[^\W\d_]")
+SYMBOLS = b"#*$%&|<>"
+LETTER = re.compile(r"[^\W\d_]")
+WIDE = re.compile(r"[^\x00-\x7F]")
+CAPITALS, DIGITS = (bytes(range(ord(a), ord(b) + 1)) for a, b in ("AZ", "09"))
+LETTERS = CAPITALS + CAPITALS.lower()
 BINS = (0.0, 0.05, 0.15, 0.3, 0.6, 0.9)
 N_FEATURES = 7 * (len(BINS) + 1) + 6
 CONTENT, BOILERPLATE = 0, 1
 
 
-def split_words(text: str) -> list[str]:
-    """Words between ASCII white space; ``str.split`` would also part at other white space."""
-    return text.split() if text.isascii() and not _ODD.search(text) else WORD.findall(text)
+def splitter(text: str):
+    """What gives the words of a text or a part of it; ``str.split`` where it parts at nothing but ASCII white space."""
+    return WORD.findall if _ODD.search(text) else str.split
 
 
-_ODD = re.compile("[\x1c-\x1f]")  # white space to str.split, but not here
+# white space to str.split, but not here
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _among(raw: bytes, kind: bytes) -> int:
+    """Bytes of ``raw`` that are of a kind."""
+    return len(raw) - len(raw.translate(None, kind))
 
 
 @dataclass
@@ -51,7 +60,8 @@ class Facts:
 
 def facts_of(text: str) -> Facts:
     raw = text.split("\n")
-    lines = [(line, split_words(line)) for line in raw]
+    split = splitter(text)
+    lines = [(line, split(line)) for line in raw]
     words = [w for _, ws in lines for w in ws]
     seen: set[str] = set()
     repeated: set[int] = set()
@@ -61,17 +71,17 @@ def facts_of(text: str) -> Facts:
                 repeated.add(i)
         else:
             seen.add(line)
-    trigrams = list(zip(words, words[1:], words[2:]))
-    again = {t for t, n in Counter(trigrams).items() if n > 1} if len(set(trigrams)) < len(trigrams) else ()
     covered = 0
-    if again:
+    if len(set(zip(words, words[1:], words[2:]))) < len(words) - 2:
+        trigrams = list(zip(words, words[1:], words[2:]))
+        again = {t for t, n in Counter(trigrams).items() if n > 1}
         until = 0
         for i, t in enumerate(trigrams):
             if t in again:
                 covered += i + 3 - max(i, until)
                 until = i + 3
     return Facts(
-        len(words), sum(map(len, words)), len(text) - len(text.translate(SYMBOLS)), len(repeated), covered, lines, repeated
+        len(words), sum(map(len, words)), _among(text.encode(), SYMBOLS), len(repeated), covered, lines, repeated
     )
 
 
@@ -87,13 +97,16 @@ def line_features(f: Facts) -> list[list[int]]:
         if not ws:
             continue
         n, size = len(ws), max(1, len(line))
-        letters = UPPER.findall(line)
-        upper = sum(map(str.isupper, letters))
-        signs = size - len(line.translate(SYMBOLS))
+        raw = line.encode()
+        letters, upper, digits, signs = (_among(raw, kind) for kind in (LETTERS, CAPITALS, DIGITS, SYMBOLS))
+        if len(raw) > len(line):  # the rest of the characters one by one
+            wide = "".join(WIDE.findall(line))
+            others = LETTER.findall(wide)
+            letters, upper, digits = letters + len(others), upper + sum(map(str.isupper, others)), digits + sum(map(str.isdigit, wide))
         shares = (
-            signs / n / 4, sum(w == "|" or not any(map(str.isalnum, w)) for w in ws) / n, upper / max(1, len(letters)),
-            sum(map(str.isdigit, line)) / size, 1 - len(set(ws)) / n, sum(w[-1] in "!?" for w in ws) / n,
-            1 - len(letters) / max(1, sum(map(len, ws))),
+            signs / n / 4, sum(not (w.isalnum() or any(map(str.isalnum, w))) for w in ws) / n, upper / max(1, letters),
+            digits / size, 1 - len(set(ws)) / n, sum(w[-1] in "!?" for w in ws) / n,
+            1 - letters / max(1, sum(map(len, ws))),
         )
         row = [k * width + _bin(s) for k, s in enumerate(shares)]
         base = len(shares) * width

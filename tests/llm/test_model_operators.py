@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -103,6 +104,30 @@ def test_base_counts_equal_brute_force(spark):
         assert (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words) == plain_facts(text)
 
 
+def test_line_features_equal_counts_by_character(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("aAzZ09 \n\t|#$<!?._²½ÉßЖ中\x1c\x85\xa0\u3000٣Ⅷ") for _ in range(90)) for _ in range(400)]
+    for text in texts + [r.text for r in small(spark, 40).collect()]:
+        f, got, first = o10.facts_of(text), iter(o10.line_features(o10.facts_of(text))), True
+        assert f.lines == [(line, re.findall(r"[^\x20\x09-\x0D]+", line)) for line in text.split("\n")]
+        for i, (line, ws) in enumerate(f.lines):
+            if not ws:
+                continue
+            n, letters = len(ws), [c for c in line if re.match(r"[^\W\d_]", c)]
+            shares = (
+                sum(c in "#*$%&|<>" for c in line) / n / 4, sum(not any(c.isalnum() for c in w) for w in ws) / n,
+                sum(c.isupper() for c in letters) / max(1, len(letters)), sum(c.isdigit() for c in line) / len(line),
+                1 - len(set(ws)) / n, sum(w[-1] in "!?" for w in ws) / n, 1 - len(letters) / len("".join(ws)),
+            )
+            marks = (True, i in f.repeated, n < 4, n > 30, ws[-1][-1] in ".!?", first)
+            want = [k * 7 + sum(x > b for b in o10.BINS) for k, x in enumerate(shares)] + [49 + k for k, on in enumerate(marks) if on]
+            assert next(got) == want
+            first = False
+        assert next(got, None) is None
+    wide = "wörter über " * 20
+    assert o10.splitter(wide) is str.split and o10.splitter("a\xa0b") is not str.split  # accents alone are no reason for the slow way
+
+
 def test_viterbi_equals_all_paths():
     rng = np.random.default_rng(3)
     field = o10.Field(rng.normal(size=(o10.N_FEATURES, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
