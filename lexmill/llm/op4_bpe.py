@@ -2,9 +2,9 @@
 
 import base64
 import hashlib
-from heapq import heappop, heappush
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -27,97 +27,123 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def merge_piece(piece: bytes, ranks: dict[bytes, int], pair_ranks: list[int]) -> list[int]:
-    """Ids of one pre-token: lowest rank first, leftmost among equals, until no neighbours merge.
+def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], pair_ranks: np.ndarray) -> list[tuple[int, ...]]:
+    """Ids of each pre-token: lowest rank first, leftmost among equals, until no neighbours merge.
 
-    Waiting pairs stand in buckets by rank, a bucket being one list position or a heap of them. ``words``
-    holds a bit for each rank with a bucket and ``summary`` a bit for each word that has any, so two
-    find-first-set steps give the next rank. A pair that changes is not deleted: ``waiting`` names the rank
-    that counts at each position, and other entries are skipped as stale. ``pair_ranks`` has the rank of each
-    two bytes at ``256 * first + second``, -1 for none. One function, as calls would cost more than the steps.
+    The pre-tokens stand one after another in one buffer and share one queue; no pair reaches over an edge. Waiting
+    pairs stand in buckets by rank. ``words`` holds a bit for each rank with a bucket and ``summary`` a bit for each
+    word that has any, so two find-first-set steps give the next rank, whose bucket is then worked off from the left;
+    what is left of it waits again if a lower rank turns up. A pair that changes is not deleted: ``waiting`` names the
+    rank that counts at each position, and other entries are skipped as stale. ``pair_ranks`` has the rank of each two
+    bytes at ``256 * first + second``, -1 for none. One function, as calls would cost more than the steps.
     """
-    if piece in ranks:
-        return [ranks[piece]]
-    n = len(piece)
-    end = list(range(1, n + 1))  # where the part that starts at i ends
-    before = list(range(-1, n - 1))
-    waiting = [pair_ranks[256 * a + b] for a, b in zip(piece, piece[1:])]
-    waiting.append(-1)
-    summary, words, buckets = 0, {}, {}
-    for i, rank in enumerate(waiting):
-        if rank < 0:
-            continue
-        if rank in buckets:
-            bucket = buckets[rank]
-            if type(bucket) is int:
-                buckets[rank] = [bucket, i]
-            else:
-                bucket.append(i)  # positions rise here, so the heap stays one
+    out: list = [None] * len(pieces)
+    todo = []
+    for k, piece in enumerate(pieces):
+        if piece in ranks:
+            out[k] = (ranks[piece],)
+        elif piece:
+            todo.append(k)
         else:
-            buckets[rank] = i
-            word = rank >> 6
-            words[word] = words.get(word, 0) | 1 << (rank & 63)
-            summary |= 1 << word
+            out[k] = ()
+    if not todo:
+        return out
+    data = b"".join(pieces[k] for k in todo)
+    n = len(data)
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    edges = np.cumsum([0, *(len(pieces[k]) for k in todo)])
+    end = list(range(1, n + 1))  # where the part that starts at i ends
+    before = np.arange(-1, n - 1)
+    before[edges[:-1]] = -1
+    before = before.tolist()
+    edge = bytearray(n + 1)  # whether a pre-token starts here
+    for i in edges.tolist():
+        edge[i] = 1
+    pairs = np.full(n, -1, np.int64)
+    pairs[:-1] = pair_ranks[256 * raw[:-1] + raw[1:]]
+    pairs[edges[1:] - 1] = -1
+    order = np.argsort(pairs, kind="stable")
+    order = order[np.searchsorted(pairs[order], 0) :]  # positions rise within a rank
+    starts = np.flatnonzero(np.diff(pairs[order], prepend=-1))
+    filled, order, starts = pairs[order[starts]].tolist(), order.tolist(), [*starts.tolist(), len(order)]
+    buckets = {rank: order[first:last] for rank, first, last in zip(filled, starts, starts[1:])}
+    waiting = pairs.tolist()
+    summary, words = 0, {}
+    for rank in buckets:
+        words[rank >> 6] = words.get(rank >> 6, 0) | 1 << (rank & 63)
+    for word in words:
+        summary |= 1 << word
+    ids = np.array([ranks.get(bytes((b,)), -1) for b in range(256)])[raw].tolist()  # of the part that starts at i, -2 inside a part
     find = ranks.get
     while summary:
         word = (summary & -summary).bit_length() - 1
         bits = words[word]
         rank = (word << 6) + (bits & -bits).bit_length() - 1
-        i = bucket = buckets[rank]
-        if type(bucket) is not int:
-            i = heappop(bucket)
-        if i is bucket or not bucket:
-            del buckets[rank]
-            bits &= bits - 1
-            words[word] = bits
-            if not bits:
-                summary ^= 1 << word
-        if waiting[i] != rank:
-            continue  # stale: one half has merged since
-        j = end[i]
-        stop = end[i] = end[j]
-        waiting[i] = waiting[j] = -1
-        left = before[i]
-        if stop < n:
-            before[stop] = i
-            new = find(piece[i : end[stop]])
-            if new is not None:
-                waiting[i] = new
-                if new in buckets:
-                    bucket = buckets[new]
-                    if type(bucket) is int:
-                        buckets[new] = [bucket, i] if bucket < i else [i, bucket]
+        bucket = buckets.pop(rank)
+        bits &= bits - 1
+        words[word] = bits
+        if not bits:
+            summary ^= 1 << word
+        if len(bucket) > 1:
+            bucket.sort()
+        for at, i in enumerate(bucket):
+            if waiting[i] != rank:
+                continue  # stale: one half has merged since
+            j = end[i]
+            stop = end[i] = end[j]
+            waiting[i] = waiting[j] = -1
+            ids[i], ids[j] = rank, -2
+            left = before[i]
+            lower = False
+            if not edge[stop]:
+                before[stop] = i
+                new = find(data[i : end[stop]])
+                if new is not None:
+                    waiting[i] = new
+                    if new in buckets:
+                        buckets[new].append(i)
                     else:
-                        heappush(bucket, i)
-                else:
-                    buckets[new] = i
-                    word = new >> 6
-                    words[word] = words.get(word, 0) | 1 << (new & 63)
-                    summary |= 1 << word
-        if left >= 0:
-            new = find(piece[left:stop])
-            if new is None:
-                waiting[left] = -1
-            elif new != waiting[left]:
-                waiting[left] = new
-                if new in buckets:
-                    bucket = buckets[new]
-                    if type(bucket) is int:
-                        buckets[new] = [bucket, left] if bucket < left else [left, bucket]
+                        buckets[new] = [i]
+                        word = new >> 6
+                        words[word] = words.get(word, 0) | 1 << (new & 63)
+                        summary |= 1 << word
+                    if new <= rank:
+                        lower = True
+            if left >= 0:
+                new = find(data[left:stop])
+                if new is None:
+                    waiting[left] = -1
+                elif new != waiting[left]:
+                    waiting[left] = new
+                    if new <= rank:
+                        lower = True
+                    if new in buckets:
+                        buckets[new].append(left)
                     else:
-                        heappush(bucket, left)
-                else:
-                    buckets[new] = left
-                    word = new >> 6
-                    words[word] = words.get(word, 0) | 1 << (new & 63)
+                        buckets[new] = [left]
+                        word = new >> 6
+                        words[word] = words.get(word, 0) | 1 << (new & 63)
+                        summary |= 1 << word
+            if lower:  # the rest of the bucket comes after the lower rank
+                rest = bucket[at + 1 :] + buckets.get(rank, [])
+                if rest:
+                    buckets[rank] = rest
+                    word = rank >> 6
+                    words[word] = words.get(word, 0) | 1 << (rank & 63)
                     summary |= 1 << word
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return ids
-
-
+                break
+    ids = np.array(ids)
+    live = np.flatnonzero(ids != -2)
+    ids = ids[live].tolist()
+    if -1 in ids:
+        raise KeyError(data[live[ids.index(-1)] :][:1])
+    bounds = np.searchsorted(live, edges).tolist()
+    for k, first, last in zip(todo, bounds, bounds[1:]):
+        out[k] = tuple(ids[first:last])
+    return out
+
+
+MERGED = 1 << 14  # bytes of pre-tokens that are merged together
 _codecs: dict[tuple[str, str], "Codec"] = {}
 
 
@@ -125,17 +151,18 @@ class Codec:
     """Encoder and decoder of one worker, kept from task to task.
 
     Short pre-tokens are remembered in two generations of ``remember`` each: when the younger is full it becomes
-    the older, and what is met again moves up, so frequent ones stay and memory is bounded.
+    the older, and what is met again moves up, so frequent ones stay and memory is bounded. What is remembered of a
+    pre-token is its ids, the same written with commas, and the bytes that the ids decode to.
     """
 
     def __init__(self, path: str, pattern: str, remember: int = 200_000, longest_remembered: int = 64):
         import regex
 
         self.ranks = read_ranks(path)
-        self.pair_ranks = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        self.pair_ranks = np.array([self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)])
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
         self.remember, self.longest = remember, longest_remembered
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.names = {rank: str(rank) for rank in self.tokens}
@@ -147,26 +174,45 @@ class Codec:
             _codecs[path, pattern] = cls(path, pattern)
         return _codecs[path, pattern]
 
-    def encode(self, text: str) -> list[int]:
+    def encoded(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str, bytes]]]:
+        """For each text its pre-tokens: ids, ids as text, bytes of the decoded ids. New ones are merged together."""
         if len(self.known) > self.remember:
             self.older, self.known = self.known, {}
-        pieces = self.split(text)
-        known, older, long = self.known, self.older, []
-        for piece in set(pieces):
-            if piece not in known:
-                ids = older.get(piece)
-                known[piece] = tuple(merge_piece(piece.encode(), self.ranks, self.pair_ranks)) if ids is None else ids
-                if len(piece) > self.longest:
-                    long.append(piece)
-        ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
-        for piece in long:
-            del known[piece]
-        return ids
+        pieces = [self.split(text) for text in texts]
+        known, fresh = self.known, []
+        new = set(chain.from_iterable(pieces)).difference(known)
+        for piece in new:
+            if (of := self.older.get(piece)) is None:
+                fresh.append(piece)
+            else:
+                known[piece] = of
+        raw = [piece.encode() for piece in fresh]
+        part = [size // MERGED for size in accumulate(map(len, raw))]
+        for first, last in _runs(part):
+            for piece, ids in zip(fresh[first:last], merge_pieces(raw[first:last], self.ranks, self.pair_ranks)):
+                known[piece] = ids, ",".join(map(self.names.__getitem__, ids)), self.decode(ids)
+        out = [list(map(known.__getitem__, row)) for row in pieces]
+        for piece in new:
+            if len(piece) > self.longest:
+                del known[piece]
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(ids for ids, _, _ in self.encoded([text])[0]))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def _runs(values: list[int]):
+    """Bounds of the runs of equal values."""
+    start = 0
+    for i in range(1, len(values) + 1):
+        if i == len(values) or values[i] != values[start]:
+            yield start, i
+            start = i
+
+
 def _mapped(docs: DataFrame, path: str, pattern: str, schema: T.StructType, columns) -> DataFrame:
     """``columns(codec, texts)`` gives the arrays after doc_id."""
 
@@ -194,10 +240,11 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def columns(codec: Codec, rows: list[str]):
-        ids = [codec.encode(t) for t in rows]
+        texts = codec.encoded(rows)
+        ids = [list(chain.from_iterable(x for x, _, _ in parts)) for parts in texts]
         yield pa.array([len(x) for x in ids], pa.int64())
         yield pa.array(ids, pa.list_(pa.int32()))
-        yield pa.array([codec.decode(x) == t.encode() for x, t in zip(ids, rows)], pa.bool_())
+        yield pa.array([b"".join([x for _, _, x in parts]) == t.encode() for parts, t in zip(texts, rows)], pa.bool_())
 
     return _mapped(docs, path, pattern, ENCODED, columns)
 
@@ -207,11 +254,11 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def columns(codec: Codec, rows: list[str]):
         counts, ids_sha, text_sha = [], [], []
-        for text in rows:
-            ids = codec.encode(text)
-            counts.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
-            text_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        for parts in codec.encoded(rows):
+            ids = ",".join([x for _, x, _ in parts])
+            counts.append(ids.count(",") + 1 if ids else 0)
+            ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+            text_sha.append(hashlib.sha256(b"".join([x for _, _, x in parts])).hexdigest())
         yield pa.array(counts, pa.int64())
         yield pa.array(ids_sha, pa.string())
         yield pa.array(text_sha, pa.string())

@@ -32,6 +32,25 @@ def test_codec_equals_the_library(tiktoken_encoding):
         assert codec.decode(ids) == text.encode()
 
 
+def test_texts_merged_together_equal_the_library(tiktoken_encoding, monkeypatch):
+    texts = random_texts(900, "ab  \n\t1!é€𝄞aaathe'sll", seed=6) + ["a" * 500 + " " + "the" * 400, "", "a" * 499, " " * 70 + "x"]
+    want = [tiktoken_encoding.encode_ordinary(t) for t in texts]
+    for together in (1, 100, 1 << 20):
+        monkeypatch.setattr(op4_bpe, "MERGED", together)
+        codec = op4_bpe.Codec(RANKS, P.PATTERN, remember=50)
+        got = codec.encoded(texts[:450]) + codec.encoded(texts[450:])
+        assert [[i for ids, _, _ in parts for i in ids] for parts in got] == want
+        assert [",".join(x for _, x, _ in parts) for parts in got] == [",".join(map(str, ids)) for ids in want]
+        assert [b"".join(x for *_, x in parts) for parts in got] == [t.encode() for t in texts]
+        assert all(len(piece) <= codec.longest for piece in codec.known)
+    # a lower rank that only comes up within a bucket goes before the rest of it, and a byte without a rank is an error
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"bc": 4, b"abcabc": 5, b"aa": 6}
+    pairs = op4_bpe.np.array([ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)])
+    assert op4_bpe.merge_pieces([b"abcabcbc", b"", b"aabcaaa", b"c"], ranks, pairs) == [(5, 4), (), (0, 3, 6, 0), (2,)]
+    with pytest.raises(KeyError):
+        op4_bpe.merge_pieces([b"abx"], ranks, pairs)
+
+
 def test_bpe_digests(spark, tiktoken_encoding):
     rows = [(r.doc_id, r.text) for r in small(spark, 40).collect()]
     got = rows_of(op4_bpe.bpe_digests(small(spark, 40), RANKS, P.PATTERN))
