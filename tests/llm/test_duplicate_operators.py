@@ -116,20 +116,25 @@ def plain_bits(tokens):
     return majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in set(tokens)])
 
 
-def plain_blocks(norm):
-    """The blocks of a line as (by words, power, side, place, bits of the block that count)."""
+def plain_cuts(norm):
+    """The cuts of a line: its blocks as (by words, power, side, place, bits of the block that count)."""
     words = norm.split(" ")
-    by_words = len(words) >= 6
-    tokens, out = words if by_words else list(norm), []
+    kinds = [True] * (len(words) >= 6) + [False] * (4 * len(words) < 30)
+    out = []
     if len(norm) < 5:
         return out
-    power = len(tokens).bit_length() - 1
-    size = max(3, (1 << power) // 4) if by_words else (1 << power) // 2
-    for side, row in enumerate((tokens, tokens[::-1])):
-        for j in range(len(tokens) // size if by_words else 1):
-            part = row[j * size : (j + 1) * size]
-            width, longs = (4, 2) if len(set(part)) < 8 else (7, 4) if len(set(part)) < 64 else (15, 8)
-            out.append((by_words, power, side, j, plain_bits(part) & sum(1 << i + width * k for i in range(longs) for k in range(63 // width))))
+    for by_words in kinds:
+        tokens = words if by_words else list(norm)
+        least = len(tokens).bit_length() - 1
+        for power in [least] + [least + 1] * (len(tokens) >= 0.8 * 2 ** (least + 1)):
+            size = max(3, (1 << power) // 4) if by_words else (1 << power) // 2
+            cut = []
+            for side, row in enumerate((tokens, tokens[::-1])):
+                for j in range(len(tokens) // size if by_words else 1):
+                    part = row[j * size : (j + 1) * size]
+                    width, longs = (4, 2) if len(set(part)) < 8 else (7, 4) if len(set(part)) < 64 else (15, 8)
+                    cut.append((by_words, power, side, j, plain_bits(part) & sum(1 << i + width * k for i in range(longs) for k in range(63 // width))))
+            out.append(cut)
     return out
 
 
@@ -137,16 +142,15 @@ def plain_line_dedup(rows, similarity=0.8, links=True):
     """All pairs of distinct lines, on documents with different ids."""
     places = [(i, k, plain_norm(x)) for i, t in rows if i is not None for k, x in enumerate((t or "").split("\n")) if plain_norm(x)]
     norms = sorted({n for *_, n in places})
-    blocks = {n: plain_blocks(n) for n in norms}
-    prints = {n: majority([x[-1] for x in blocks[n]]) for n in norms}
     meet = {}
     for n in norms:
-        for x in set(blocks[n]):
-            meet.setdefault(x, []).append(n)
-    pairs = {(a, b) for group in meet.values() for a in group for b in group if a < b}
+        for cut in plain_cuts(n):
+            for x in set(cut):
+                meet.setdefault(x, []).append((n, majority([y[-1] for y in cut])))
+    pairs = {(a, b) for group in meet.values() for a, fa in group for b, fb in group if a < b and (fa ^ fb).bit_count() <= 10}
     links = [
         (a, b) for a, b in pairs
-        if (prints[a] ^ prints[b]).bit_count() <= 10 and abs(len(a) - len(b)) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
+        if abs(len(a) - len(b)) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
         and edit_distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
     ]
     group = groups_of(links, norms)
@@ -205,6 +209,25 @@ def test_line_dedup_finds_what_plain_edit_similarity_finds(spark):
     assert want > 150 and 0.95 * want <= lost <= want, (want, lost)
 
 
+def test_lines_on_both_sides_of_a_power_of_two_meet(spark):
+    rng = random.Random(5)
+    words = [f"{rng.choice('bcdfgklm')}{rng.choice('aeiou')}{rng.randint(10, 999)}" for _ in range(500)]
+    rows, n = [], 0
+    for size in (6, 8, 16, 32, 64):  # a word less is cut by another power, or by characters
+        for _ in range(20):
+            line = [rng.choice(words) for _ in range(size)]
+            rows += [(n, " ".join(line)), (n + 1, " ".join(line[:2] + line[3:]))]
+            n += 2
+    for size in (8, 16, 32):
+        for _ in range(20):
+            line = "".join(rng.choice("abcdefghijklmnop") for _ in range(size))
+            rows += [(n, line), (n + 1, line[:3] + line[4:])]
+            n += 2
+    similar = sum(edit_distance(a, b) <= 0.2 * max(len(a), len(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    found = sum(r.n_removed for r in o7.dedup_lines(table(spark, rows)).collect())
+    assert similar > 150 and 0.95 * similar <= found, (found, similar)
+
+
 def test_edit_similarity_of_pairs(spark):
     rng = random.Random(11)
     words = ["alpha", "be", "gamma", "delta", "e", "zeta"]
