@@ -144,7 +144,8 @@ def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int], pair_ranks: np.nd
 
 
 MERGED = 1 << 14  # bytes of pre-tokens that are merged together
-_codecs: dict[tuple[str, str], "Codec"] = {}
+REMEMBERED = 200_000  # pre-tokens of a generation, about 0.4 KB each
+_codecs: dict[tuple[str, str, int], "Codec"] = {}
 
 
 class Codec:
@@ -155,7 +156,7 @@ class Codec:
     pre-token is its ids, the same written with commas, and the bytes that the ids decode to.
     """
 
-    def __init__(self, path: str, pattern: str, remember: int = 200_000, longest_remembered: int = 64):
+    def __init__(self, path: str, pattern: str, remember: int = REMEMBERED, longest_remembered: int = 64):
         import regex
 
         self.ranks = read_ranks(path)
@@ -165,14 +166,15 @@ class Codec:
         self.older: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
         self.remember, self.longest = remember, longest_remembered
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.own = {rank: rank for rank in self.tokens}  # one int object a rank, however often it is remembered
         self.names = {rank: str(rank) for rank in self.tokens}
 
     @classmethod
-    def shared(cls, path: str, pattern: str) -> "Codec":
-        """The worker's codec of this vocabulary and pattern."""
-        if (path, pattern) not in _codecs:
-            _codecs[path, pattern] = cls(path, pattern)
-        return _codecs[path, pattern]
+    def shared(cls, path: str, pattern: str, remember: int) -> "Codec":
+        """The worker's codec of this vocabulary and pattern, which remembers so many pre-tokens."""
+        if (path, pattern, remember) not in _codecs:
+            _codecs[path, pattern, remember] = cls(path, pattern, remember)
+        return _codecs[path, pattern, remember]
 
     def encoded(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str, bytes]]]:
         """For each text its pre-tokens: ids, ids as text, bytes of the decoded ids. New ones are merged together."""
@@ -190,7 +192,7 @@ class Codec:
         part = [size // MERGED for size in accumulate(map(len, raw))]
         for first, last in _runs(part):
             for piece, ids in zip(fresh[first:last], merge_pieces(raw[first:last], self.ranks, self.pair_ranks)):
-                known[piece] = ids, ",".join(map(self.names.__getitem__, ids)), self.decode(ids)
+                known[piece] = tuple(map(self.own.__getitem__, ids)), ",".join(map(self.names.__getitem__, ids)), self.decode(ids)
         out = [list(map(known.__getitem__, row)) for row in pieces]
         for piece in new:
             if len(piece) > self.longest:
@@ -213,30 +215,31 @@ def _runs(values: list[int]):
             start = i
 
 
-def _mapped(docs: DataFrame, path: str, pattern: str, schema: T.StructType, columns) -> DataFrame:
-    """``columns(codec, texts)`` gives the arrays after doc_id."""
+def _mapped(docs: DataFrame, path: str, pattern: str, schema: T.StructType, columns, remember: int, limit: int) -> DataFrame:
+    """``columns(codec, texts)`` gives the arrays after doc_id, of ``limit`` bytes of texts at a time."""
 
     def run(batches):
-        codec = Codec.shared(path, pattern)
+        codec = Codec.shared(path, pattern, remember)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), *columns(codec, batch.column(1).to_pylist())], names=[f.name for f in schema]
             )
 
-        yield from per_batch(one, limit=2 << 20)(batches)
+        yield from per_batch(one, limit=limit)(batches)
 
     return texts(docs).mapInArrow(run, schema)
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, remember: int = 40_000) -> DataFrame:
     """``doc_id, n_tokens, ids, round_trip`` of every whole text: pre-tokens of ``pattern`` merged by the ranks at ``path``.
 
     ``round_trip`` says that decoding the ids gives the text's bytes back.
 
     One row for each row of ``docs``, in no order; the text stays in its partition and nothing is shuffled.
     Null or empty text: no ids. Null or repeated doc_id: the row is encoded like any other. Other columns are
-    not read. ``path`` is a vocabulary file that every worker has, as an installed package.
+    not read. ``path`` is a vocabulary file that every worker has, as an installed package. ``remember`` bounds what a
+    worker keeps between texts: as a stage of a pipeline it shares an executor with what the stages before it left.
     """
 
     def columns(codec: Codec, rows: list[str]):
@@ -246,7 +249,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         yield pa.array(ids, pa.list_(pa.int32()))
         yield pa.array([b"".join([x for _, _, x in parts]) == t.encode() for parts, t in zip(texts, rows)], pa.bool_())
 
-    return _mapped(docs, path, pattern, ENCODED, columns)
+    return _mapped(docs, path, pattern, ENCODED, columns, remember, 1 << 19)
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -263,4 +266,4 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         yield pa.array(ids_sha, pa.string())
         yield pa.array(text_sha, pa.string())
 
-    return _mapped(docs, path, pattern, DIGESTS, columns)
+    return _mapped(docs, path, pattern, DIGESTS, columns, REMEMBERED, 2 << 20)

@@ -51,6 +51,20 @@ def test_texts_merged_together_equal_the_library(tiktoken_encoding, monkeypatch)
         op4_bpe.merge_pieces([b"abx"], ranks, pairs)
 
 
+def test_a_stage_remembers_less_than_a_query_and_shares_its_ints(monkeypatch):
+    import inspect
+
+    assert inspect.signature(op4_bpe.bpe_encode).parameters["remember"].default <= 50_000 < op4_bpe.REMEMBERED
+    monkeypatch.setattr(op4_bpe, "_codecs", {})
+    small_one, large = (op4_bpe.Codec.shared(RANKS, P.PATTERN, n) for n in (500, 100_000))
+    assert small_one is op4_bpe.Codec.shared(RANKS, P.PATTERN, 500) and small_one is not large
+    texts = [" ".join(f"zq{k:x}x{k * 7919:x}" for k in range(i, i + 100)) for i in range(0, 5_000, 100)]
+    got = [codec.encoded([t])[0] for t in texts for codec in (small_one, large)]
+    assert got[::2] == got[1::2] and len(small_one.known) + len(small_one.older) < 2_000 < len(large.known)
+    seen = {}
+    assert all(seen.setdefault(i, i) is i for ids, _, _ in large.known.values() for i in ids)
+
+
 def test_bpe_digests(spark, tiktoken_encoding):
     rows = [(r.doc_id, r.text) for r in small(spark, 40).collect()]
     got = rows_of(op4_bpe.bpe_digests(small(spark, 40), RANKS, P.PATTERN))
