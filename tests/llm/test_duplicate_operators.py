@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from lexmill.llm import common
 from lexmill.llm import op3_simhash as o3
 from lexmill.llm import op7_lines as o7
 from lexmill.llm import op9_substrings as o9
@@ -249,6 +252,25 @@ def test_line_dedup_of_very_long_lines_and_copies(spark):
     assert o7.dedup_lines(table(spark, [])).collect() == [] and o7.drop_repeated_lines(table(spark, [])).collect() == []
 
 
+def test_line_dedup_shuffles_texts_at_every_size_and_leaves_no_shuffle_files(spark, monkeypatch):
+    plans, write = [], common.scratch
+    monkeypatch.setattr(o7, "scratch", lambda df, label: plans.append((label, df)) or write(df, label))
+    rows = line_rows(spark)
+    o7.repeated_lines(table(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    texts = [df._jdf.queryExecution().optimizedPlan().toString() for label, df in plans if label == "line-texts"]
+    assert texts and not any("broadcast" in plan for plan in texts)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x.getName() for x in (blocks.getAllFiles().apply(i) for i in range(blocks.getAllFiles().size()))}
+    before = files()
+    made = common.scratch(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    for _ in range(50):  # they are removed in the background
+        written = [x for x in files() - before if x.startswith("shuffle_")]
+        if not written:
+            break
+        time.sleep(0.1)
+    assert written == [] and made.count() == 7
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = o7.fuzzy_groups.__code__.co_names + o7.repeated_lines.__code__.co_names + o7.fingerprinted.__code__.co_names
     assert not {"mapInArrow", "mapInPandas", "applyInPandas", "udf", "pandas_udf", "rdd"} & set(plan)
