@@ -1,7 +1,9 @@
 import hashlib
+import os
 import random
 import re
 import time
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pytest
@@ -271,6 +273,26 @@ def test_line_dedup_shuffles_texts_at_every_size_and_leaves_no_shuffle_files(spa
     assert written == [] and made.count() == 7
 
 
+def test_line_dedup_by_parts_is_the_same_and_keeps_no_prints_beside_the_texts(spark, monkeypatch):
+    rows = table(spark, line_rows(spark)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    drops = lambda: {r.doc_id: sorted(r.drop) for r in o7.repeated_lines(rows, budget=20).collect()}
+    want, made, beside, write = drops(), [], [], common.scratch
+
+    def noted(df, label):
+        if label == "line-texts":
+            beside.extend(name for name, t in made if "prints" in t.columns and all(os.path.exists(unquote(urlparse(f).path)) for f in t.inputFiles()))
+        made.append((label, write(df, label)))
+        return made[-1][1]
+
+    monkeypatch.setattr(o7, "scratch", noted)
+    monkeypatch.setattr(o7, "PAIRS", 5)
+    monkeypatch.setattr(o7, "FEW_LINES", 5)
+    assert drops() == want and len(want) > 10 and beside == []
+    count = {label: sum(1 for x, _ in made if x == label) for label, _ in made}
+    assert count["distinct-lines"] == count["line-buckets"] == count["line-crosses"] == o7.PASSES and count["line-texts"] == 2 * o7.PASSES
+    assert 2 < count["line-links"] <= 2 * o7.MOST_PASSES
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = o7.fuzzy_groups.__code__.co_names + o7.repeated_lines.__code__.co_names + o7.fingerprinted.__code__.co_names
     assert not {"mapInArrow", "mapInPandas", "applyInPandas", "udf", "pandas_udf", "rdd"} & set(plan)
