@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import flow_queries
 from lexmill.session import staging_root
 from lexmill.sources import readers as R
 
@@ -69,3 +70,24 @@ def test_texts_are_not_stored_to_find_records(spark, small_splits, tmp_path):
     assert sorted((json.loads(r.record) for r in found), key=lambda x: x["i"]) == rows
     stored = set(root.iterdir()) - before
     assert stored and not any("value" in spark.read.parquet(str(f)).columns for f in stored)
+
+
+@pytest.mark.parametrize("n", [0, 1, 40])
+def test_an_array_of_articles_is_one_file_and_goes_when_it_is_read(spark, tmp_path, monkeypatch, n):
+    text = lambda k: None if k % 9 == 8 else f'line {k} "quoted" {{x}}\nArticle {k + 3} ]'
+    rows = [(k - k % 2, text(k), "en", "web", 9) for k in range(n)]  # every id comes twice
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    read, seen = R.read_articles, []
+
+    def noted(spark, path):
+        files = list(pathlib.Path(path).glob("part-*"))
+        whole = "".join(f.read_text() for f in files)
+        seen.append((path, len([f for f in files if f.stat().st_size]), json.loads(whole) if whole else []))
+        return read(spark, path)
+
+    monkeypatch.setattr(R, "read_articles", noted)
+    got = flow_queries.article_json_array(spark, str(tmp_path))
+    path, files, array = seen[0]
+    numbers = sorted(r.article_number for r in got.collect())
+    assert files == min(n, 1) and sorted(x["article_number"] for x in array) == numbers == sorted(r[0] + 1 for r in rows)
+    assert n == 0 or not pathlib.Path(path).exists()
