@@ -106,9 +106,10 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class AnswerAssembly(StatefulProcessor):
-    """Tokens of open traces by sequence number, and when a trace closes by itself.
+    """Tokens of open traces as they came, and when a trace closes by itself.
 
-    A batch writes the tokens it brings and one deadline a trace; what came before is not written again.
+    A batch writes the tokens it brings in one call, and one deadline a trace; what came before is not written again. A
+    trace that closes in the batch that brings its tokens writes nothing. Of tokens with one sequence number the last counts.
     """
 
     def __init__(self, idle_ms: int, longest_ms: int | None):
@@ -116,21 +117,23 @@ class AnswerAssembly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tokens = handle.getMapState("tokens", "seq int", "data string")
+        self.tokens = handle.getListState("tokens", "seq int, data string")
         self.times = handle.getValueState("times", "opened long, deadline long")
 
     def handleInputRows(self, key, rows, timerValues):
-        done, opened, last = False, None, 0
+        done, opened, last, tokens = False, None, 0, []
         for frame in rows:
-            part = frame[frame["event"] == "token"]
-            for seq, data in zip(part["seq"], part["data"], strict=True):
-                self.tokens.updateValue((int(seq),), (data,))
-            done = done or bool((frame["event"] == "done").any())
+            events = frame["event"].to_numpy()
+            part = events == "token"
+            tokens += [(int(seq), data) for seq, data in zip(frame["seq"].to_numpy()[part], frame["data"].to_numpy()[part], strict=True)]
+            done = done or bool((events == "done").any())
             opened = min(x for x in (opened, int(frame["ts"].min().timestamp() * 1000)) if x is not None)
             last = max(last, int(frame["ts"].max().timestamp() * 1000))
         if done:
-            yield self._closed(key, "done")
+            yield self._closed(key, "done", tokens)
             return
+        if tokens:
+            self.tokens.appendList(tokens)
         known = self.times.get() if self.times.exists() else None
         opened = min(opened, known[0]) if known else opened
         deadline = max(last, timerValues.getCurrentWatermarkInMs(), known[1] - self.idle_ms if known else 0) + self.idle_ms
@@ -143,14 +146,17 @@ class AnswerAssembly(StatefulProcessor):
         self.times.update((opened, deadline))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self._closed(key, "timeout")
+        yield self._closed(key, "timeout", [])
 
-    def _closed(self, key, by: str) -> pd.DataFrame:
-        tokens = sorted((k[0], v[0]) for k, v in self.tokens.iterator())
-        if self.times.exists():
+    def _closed(self, key, by: str, last: list[tuple]) -> pd.DataFrame:
+        found = {}
+        if self.times.exists():  # written whenever tokens are
+            found.update(self.tokens.get())
             self.handle.deleteTimer(self.times.get()[1])
-        self.tokens.clear()
-        self.times.clear()
+            self.tokens.clear()
+            self.times.clear()
+        found.update(last)
+        tokens = sorted(found.items())
         return pd.DataFrame({"trace_id": [key[0]], "answer": ["".join(t for _, t in tokens)], "n_tokens": [len(tokens)], "closed_by": [by]})
 
     def close(self) -> None:
@@ -161,7 +167,7 @@ def assemble_answers(events: DataFrame, idle: str = "10 minutes", longest: str |
     """Answers from token events ``(trace_id, seq, ts, event, data)``.
 
     A trace closes on its ``done`` event, or when the watermark passes its last token by the idle time or, with
-    ``longest``, its first one by that time. State is the open traces' tokens, kept by sequence number: a token that
+    ``longest``, its first one by that time. State is the open traces' tokens with their sequence numbers: a token that
     comes again takes its own place. The state store must be RocksDB; the session is set to it.
     """
     ms = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)

@@ -1,7 +1,9 @@
 import datetime as dt
 import time
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,49 @@ def test_stream_answers_grow_over_batches(spark, tmp_path):
     assert answers("idle") == {("a", "abc", 3, "done"), ("slow", "01234", 5, "timeout")}
     first = [x for x in answers("limit", longest="1 minute") if x[0] == "slow"]
     assert len(first) > 1 and "".join(sorted(x[1] for x in first)) == "01234" and {x[3] for x in first} == {"timeout"}
+
+
+class CountedState:
+    """A state handle that counts what a trace asks of it."""
+
+    def __init__(self):
+        self.calls, self.value, self.rows, self.timers = 0, None, [], []
+
+    def _counted(self, do):
+        def call(*args):
+            self.calls += 1
+            return do(*args)
+
+        return call
+
+    def getListState(self, name, schema):
+        clear, add = self._counted(lambda: self.rows.clear()), self._counted(lambda rows: self.rows.extend(rows))
+        return SimpleNamespace(get=self._counted(lambda: iter(list(self.rows))), appendList=add, clear=clear)
+
+    def getValueState(self, name, schema):
+        put = self._counted(lambda x: setattr(self, "value", x))
+        return SimpleNamespace(exists=self._counted(lambda: self.value is not None), get=self._counted(lambda: self.value), update=put, clear=lambda: put(None))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_stream_answers_ask_little_of_the_state(spark):
+    t0 = pd.Timestamp(2024, 1, 1)
+    frame = lambda seqs, event="token": pd.DataFrame({"trace_id": "a", "seq": seqs, "ts": t0, "event": event, "data": [f"<{s}>" for s in seqs]})
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    state, trace = CountedState(), Z.AnswerAssembly(600_000, None)
+    trace.init(state)
+    whole = list(trace.handleInputRows(("a",), [frame(range(1000)), frame([1000], "done")], now))
+    assert whole[0].n_tokens[0] == 1000 and state.calls <= 2 and state.rows == []
+    state.calls = 0
+    assert list(trace.handleInputRows(("a",), [frame(range(500))], now)) == []
+    assert list(trace.handleInputRows(("a",), [frame(range(400, 1000))], now)) == [] and state.calls <= 12 and len(state.timers) == 1
+    row = list(trace.handleExpiredTimer(("a",), now, None))[0]
+    assert row.answer[0] == "".join(f"<{k}>" for k in range(1000)) and row.closed_by[0] == "timeout"
+    assert state.rows == [] and state.value is None and state.timers == []
